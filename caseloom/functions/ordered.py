@@ -29,7 +29,7 @@ HEAVY_ROWS = 20_000_000
 MAX_HEAVY_KEYS = 5_000
 BLOCKS_PER_KEY = 1_024
 BLOCKS_WHOLE = 65_536
-SMALL_BYTES = 2 << 30
+SMALL_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -79,6 +79,11 @@ def lowest_upto(c) -> Step:
     return Step("lowest", col(c))
 
 
+def lowest_before(c) -> Step:
+    """Running minimum of the earlier rows."""
+    return Step("lowest", col(c), True)
+
+
 def highest_upto(c) -> Step:
     """Running maximum including this row."""
     return Step("highest", col(c))
@@ -94,7 +99,7 @@ def surely_small(df: DataFrame) -> bool:
         return False
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString()) <= SMALL_BYTES
+        return int(str(stats.sizeInBytes())) <= SMALL_BYTES
     except Exception:  # no statistics on this kind of session
         return False
 

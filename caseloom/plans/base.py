@@ -6,13 +6,13 @@ is a common table expression with the same name.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import scratch  # noqa: F401
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -31,15 +31,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder of the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return os.path.join(root, "caseloom-" + uuid.uuid4().hex)
-
-
 # ── logs ────────────────────────────────────────────────────────────────────
 
 def _k():
@@ -160,7 +151,6 @@ def part(name: str, sql: str, *needs: str):
 def with_logs(sql: str) -> str:
     """Prefix the CTEs a query names with ``{{log}}`` markers, dependencies first."""
     wanted, body = [], sql
-    import re
 
     def visit(n):
         text = LOGS.get(n) or PARTS[n]
