@@ -79,12 +79,13 @@ def _turns(n: int) -> Column:
     return F.sequence(F.lit(1), F.lit(n))
 
 
-def _series(delta: Column, first: int) -> Column:
-    """Taylor sum of the weighted moments from ``first`` on, ``delta`` away from the pass."""
-    out = F.lit(0.0)
+def _series(delta: str, first: int) -> str:
+    """SQL text of the Taylor sum of the weighted moments from ``first`` on, ``delta``
+    away from the shape of the pass."""
+    out = "0D"
     for k in range(MOMENTS - first, 0, -1):      # Horner form
-        out = (out + F.col(f"__m{first + k}")) * delta / F.lit(float(k))
-    return out + F.col(f"__m{first}")
+        out = f"({out} + __m{first + k}) * {delta} / {k}"
+    return f"({out} + __m{first})"
 
 
 def weibull_form(values: DataFrame, s: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -102,21 +103,19 @@ def weibull_form(values: DataFrame, s: DataFrame, keys: list[str], value: str) -
         j = logs.join(cur, keys)
         u = F.col("__u") - F.col("mean_log")     # centred: no overflow for usual shapes
         w = F.exp(F.col("__c") * u)
-        moments = [F.sum(w).alias("__m0")]
-        for k in range(1, MOMENTS + 1):
-            moments.append(F.sum(w * F.pow(u, F.lit(float(k)))).alias(f"__m{k}"))
+        j = j.select(*keys, "__c", "mean_log", u.alias("u"), w.alias("w"))
+        moments = [F.expr(f"sum(w * pow(u, {k}))").alias(f"__m{k}") for k in range(MOMENTS + 1)]
         cur = j.groupBy(*keys).agg(*moments, F.max("__c").alias("__c"),
                                    F.max("mean_log").alias("mean_log"))
 
-        def step(d, _):
-            s0, s1, s2 = (_series(d, i) for i in range(3))
-            c, r, bound = F.col("__c") + d, s1 / s0, F.col("__c") * 0.5
-            slope = s2 / s0 - r * r + 1.0 / (c * c)
-            return F.least(F.greatest(d - (r - 1.0 / c) / slope, -bound), bound)
-        cur = cur.withColumn("__d", F.aggregate(_turns(NEWTON_STEPS), F.lit(0.0), step))
-        d = F.col("__d")
-        cur = cur.select(*keys, "mean_log", (F.col("__c") + d).alias("__c"),
-                         _series(d, 0).alias("__w0"))
+        c, r = "(__c + d)", f"{_series('d', 1)} / {_series('d', 0)}"
+        slope = f"({_series('d', 2)} / {_series('d', 0)} - pow({r}, 2) + 1 / pow({c}, 2))"
+        newton = f"d - ({r} - 1 / {c}) / {slope}"
+        cur = cur.withColumn("__d", F.expr(
+            f"aggregate(sequence(1, {NEWTON_STEPS}), 0D, (d, i) -> "
+            f"least(greatest({newton}, -0.5D * __c), 0.5D * __c))"))
+        cur = cur.select(*keys, "mean_log", (F.col("__c") + F.col("__d")).alias("__c"),
+                         F.expr(_series("__d", 0)).alias("__w0"))
         if turn < WEIBULL_PASSES - 1:
             cur = cur.drop("__w0")
     t = s.join(cur.drop("mean_log"), keys)
