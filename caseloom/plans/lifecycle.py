@@ -273,11 +273,11 @@ part("ritems", f"""select work_item_id, activity, terminal, elapsed_s, active_s,
     greatest(0, {secs('first', 'te')}) end as elapsed_s from {{it1}} where terminal is not null)""")
 
 
-@query("L15_items", """select work_item_id, activity, terminal, round(elapsed_s, 5) as elapsed_s,
-    round(active_s, 5) as active_s, round(non_active_s, 5) as non_active_s, sessions, suspends
+@query("L15_items", """select work_item_id, activity, terminal, round(elapsed_s, 6) as elapsed_s,
+    round(active_s, 6) as active_s, round(non_active_s, 6) as non_active_s, sessions, suspends
     from {ritems}""")
 def l15(spark, d):
-    return rounded(lc.recomposed_items(item_log(spark, d)), 5)
+    return rounded(lc.recomposed_items(item_log(spark, d)), 6)
 
 
 @query("L15_item_summary", """with u as (unpivot (select activity, terminal, elapsed_s, active_s,
