@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
         assert name not in QUERIES, name
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_logs(sql)
+            ORACLES[name] = sql
         return fn
     return add
 

@@ -310,11 +310,12 @@ def r17(spark, d):
                                               cal.discover_holidays(p, 0.7), seed=7))
 
 
-@query("R18_extra_presence", """select distinct resource, cast(cast("timestamp" as date) as varchar) as "date"
-    from {lc} where lifecycle = 'schedule' except select resource, cast(cast("timestamp" as date) as varchar)
-    from {lc} where lifecycle <> 'schedule'""")
+@query("R18_extra_presence", """select distinct case_id as resource, cast(cast("timestamp" as date)
+    as varchar) as "date" from {lc} where lifecycle = 'schedule' except select case_id,
+    cast(cast("timestamp" as date) as varchar) from {lc} where lifecycle <> 'schedule'""")
 def r18(spark, d):
-    return cal.extra_presence(lifecycle_log(spark, d)).withColumn("date", F.col("date").cast("string"))
+    log = lifecycle_log(spark, d).withColumn("resource", F.col("case_id"))
+    return cal.extra_presence(log).withColumn("date", F.col("date").cast("string"))
 
 
 part("mem", "select resource, cast(cast(resource as int) % 7 as int) as grp from {cnt}")
