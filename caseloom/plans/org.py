@@ -208,7 +208,7 @@ def o11(spark, d):
 
 
 # capabilities with wildcards, and the contexts asked of them
-part("wcaps", """select distinct grp, case when length(at) % 2 = 0 then '' else ct end as ct, at,
+part("wcaps", """select distinct grp, case when length(at) % 2 = 1 then '' else ct end as ct, at,
     case when grp = 9 then '' else tt end as tt from {somecaps} where tt <> 'TT.Sunday' and
     not (ct = 'CT.g2' and at = 'AT.error')""")
 part("ask", """select distinct activity, case when activity = 'view' then null else 'CT.' || goal end as
@@ -218,7 +218,7 @@ part("ask", """select distinct activity, case when activity = 'view' then null e
 
 def wild_caps(spark, d):
     c = some_caps(spark, d).filter("tt <> 'TT.Sunday' and not (ct = 'CT.g2' and at = 'AT.error')")
-    return c.select("grp", F.when(F.length("at") % 2 == 0, "").otherwise(F.col("ct")).alias("ct"), "at",
+    return c.select("grp", F.when(F.length("at") % 2 == 1, "").otherwise(F.col("ct")).alias("ct"), "at",
                     F.when(F.col("grp") == 9, "").otherwise(F.col("tt")).alias("tt")).distinct()
 
 
