@@ -218,7 +218,8 @@ def expected_duration(pairs: DataFrame, predictions: DataFrame, fits: DataFrame,
     p = predictions.select("activity", "resource", F.col("predicted_s").alias("__p"))
     j = pairs.join(p, ["activity", "resource"], "left").join(means, "activity", "left")
     return j.withColumn("expected_s", F.coalesce(
-        F.greatest(F.lit(1.0), F.col("__p")), F.col("__f"), F.lit(default))) \
+        F.when(F.col("__p").isNotNull(), F.greatest(F.lit(1.0), F.col("__p"))),
+        F.col("__f"), F.lit(default))) \
         .withColumn("source", F.when(F.col("__p").isNotNull(), "model")
                     .when(F.col("__f").isNotNull(), "fit").otherwise("default")) \
         .drop("__p", "__f")
