@@ -94,13 +94,18 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: str = "y",
     """keys, level, q per group with enough rows; null keys hold the fallback over all rows."""
     keys = list(keys)
     probs = {f"q{i}": p for i, p in enumerate(levels)}
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_rows)
-    per = quantiles(df, keys, value, probs).join(n.drop("__n"), keys, "left_semi")
-    whole = quantiles(df, [], value, probs)
-    whole = whole.select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], *probs)
+    # each row counts for its group and for the whole
+    both = df.select(*keys, F.col(value).alias("__y"), F.explode(F.array(
+        F.lit(True), F.lit(False))).alias("__own")).select(
+        *[F.when(F.col("__own"), F.col(k)).otherwise(F.lit("").cast(df.schema[k].dataType)).alias(k)
+          for k in keys], "__own", "__y")
+    n = both.groupBy(*keys, "__own").agg(F.count(F.lit(1)).alias("__n")).filter(
+        (F.col("__n") >= min_rows) | ~F.col("__own")).drop("__n")
+    per = quantiles(both, [*keys, "__own"], "__y", probs).join(n, [*keys, "__own"], "left_semi")
+    both = per.select(*[F.when(F.col("__own"), F.col(k)).alias(k) for k in keys], *probs)
     cells = F.array(*[F.struct(F.lit(p).alias("level"), F.col(f"q{i}").alias("q"))
                       for i, p in enumerate(levels)])
-    return per.unionByName(whole).select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+    return both.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
 
 
 def _curves(table: DataFrame, keys: Sequence[str]) -> DataFrame:

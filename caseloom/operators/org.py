@@ -23,6 +23,7 @@ from ..functions.blocks import dense, pairwise
 from ..functions.columns import ratio, total
 from ..functions.ordered import along, following
 from ..functions.quantiles import quantiles
+from ..functions.staging import staged
 from .shape import order_of
 
 CTX = ["case_type", "activity_type", "time_type"]
@@ -162,7 +163,7 @@ def conformance(rl: DataFrame, members: DataFrame, capabilities: DataFrame,
                 by: Sequence[str] = ()) -> DataFrame:
     """fitness, precision, f1 of a model on a resource log, per value of ``by``."""
     by = list(by)
-    return _conformance(context_counts(rl), members, capabilities, by)
+    return _conformance(staged(context_counts(rl)), members, capabilities, by)
 
 
 def _conformance(counts, members, capabilities, by):
@@ -226,10 +227,10 @@ def overall_score_grid(rl: DataFrame, members: DataFrame) -> tuple[DataFrame, Da
 
     Stake and coverage are computed once; the grid only thresholds them.
     """
-    counts = context_counts(rl)
+    counts = staged(context_counts(rl))     # read by every score below
     grid = F.array(*[F.struct(F.lit(w).alias("w1"), F.lit(x).alias("lam"))
                      for w in GRID for x in GRID])
-    s = _stake(counts, members).withColumn("g", F.explode(grid)).select("*", "g.*")
+    s = staged(_stake(counts, members)).withColumn("g", F.explode(grid)).select("*", "g.*")
     ok = s.filter(F.col("w1") * F.col("stake") + (1 - F.col("w1")) * F.col("coverage")
                   >= F.col("lam"))
     caps = ok.select("w1", "lam", "grp", F.col("case_type").alias("ct"),
@@ -470,7 +471,8 @@ def criticality(humans: DataFrame, members: DataFrame, capabilities: DataFrame,
     """Per human: occupation, throughput share, permission breadth, contexts where nobody
     else may work, and a weighted min-max score."""
     h = humans.select("resource").distinct()
-    staff = members.join(h, "resource", "left_semi")
+    capabilities = staged(capabilities)     # the model is looked up from several sides
+    staff = staged(members.join(h, "resource", "left_semi"))
     counts = candidate_counts(context_grid(capabilities), staff, capabilities)
     sole = counts.filter("n = 1").groupBy(F.col("sole").alias("resource")).agg(
         F.count(F.lit(1)).alias("sole_candidate_contexts"))

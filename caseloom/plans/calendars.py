@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros, monday_dow, rounded
+from ..functions.staging import staged
 from ..operators import calendars as cal
 from .base import lifecycle_log, part, purchase_log, query, secs, ship_log, simple_log
 
@@ -163,14 +164,15 @@ part("sprun", """select resource, length, tenure, rate from (select t.resource,
 
 def ship_presence(spark, d):
     s = ship_log(spark, d).groupBy("resource", "date").agg(F.count(F.lit(1)).alias("n_events"))
-    return s.withColumns({"dow": monday_dow("date"), "first": F.lit(9.0), "last": F.lit(17.0),
-                          "span": F.lit(8.0)})
+    return staged(s.withColumns({"dow": monday_dow("date"), "first": F.lit(9.0),
+                                 "last": F.lit(17.0), "span": F.lit(8.0)}))
 
 
 @query("R10_absence_runs", """select resource, length, tenure, round(rate, 6) as rate from {sprun}""")
 def r10(spark, d):
     p = ship_presence(spark, d)
-    runs = cal.absence_runs(p, cal.discover_holidays(p, 0.7), cal.fit_weekly(p, 20), min_rate=0.05)
+    runs = cal.absence_runs(p, staged(cal.discover_holidays(p, 0.7)), staged(cal.fit_weekly(p, 20)),
+                            min_rate=0.05)
     return rounded(runs.drop("near"))
 
 
@@ -183,8 +185,8 @@ def r10(spark, d):
     where tenure >= 40 and rate >= 0.05""")
 def r10b(spark, d):
     p = ship_presence(spark, d)
-    return rounded(cal.leave_profiles(p, cal.discover_holidays(p, 0.7), cal.fit_weekly(p, 20),
-                                      min_rate=0.05))
+    return rounded(cal.leave_profiles(p, staged(cal.discover_holidays(p, 0.7)),
+                                      staged(cal.fit_weekly(p, 20)), min_rate=0.05))
 
 
 def roster(r, day, p):
@@ -213,7 +215,7 @@ def small_calendar(spark, d):
         "array(date'2024-01-01', date'2024-01-15')")).alias("date"))
     vac = log.groupBy("resource").agg(F.min(F.to_date("timestamp")).alias("date"))
     sys = spark.range(1).select(F.explode(F.array(F.lit("1"), F.lit("2"))).alias("resource"))
-    w = windows(spark, d, sparse=None).filter("resource not in ('1', '3')")
+    w = staged(windows(spark, d, sparse=None).filter("resource not in ('1', '3')"))
     return w, hol, vac, sys
 
 

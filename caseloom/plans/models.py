@@ -21,7 +21,7 @@ part("msplit", """select *, ln(1 + duration_s) as y, row_number() over (order by
 
 
 def split(spark, d):
-    s = sessions(spark, d).withColumn("y", F.log1p("duration_s"))
+    s = staged(sessions(spark, d)).withColumn("y", F.log1p("duration_s"))
     return models.temporal_split(s, ["timestamp", "row_key"])
 
 
@@ -56,15 +56,15 @@ part("mq", f"""select activity, unnest({LEVELS}) as level, unnest(quantile_cont(
     unnest(quantile_cont(y, {LEVELS})) from {{msplit}} where is_train""")
 
 
-def table(spark, d):
+def table(rows):
     """Quantiles per activity; one activity is left to the fallback."""
-    t = models.quantile_table(split(spark, d).filter("is_train"), ["activity"])
-    return t.filter("activity is null or activity <> 'W_3'")
+    t = models.quantile_table(rows.filter("is_train"), ["activity"])
+    return staged(t.filter("activity is null or activity <> 'W_3'"))
 
 
 @query("M4_quantile_table", "select activity, round(level::double, 2) as level, round(q, 6) as q from {mq}")
 def m4(spark, d):
-    return rounded(table(spark, d), 6, level=2)
+    return rounded(table(split(spark, d)), 6, level=2)
 
 
 part("mtest", """select s.*, level, coalesce(a.q, f.q) as q from {msplit} s cross join (select level, q from {mq} where
@@ -79,8 +79,8 @@ part("mtest", """select s.*, level, coalesce(a.q, f.q) as q from {msplit} s cros
     coverage_90, round(avg(case when y between q25 and q75 then 1.0 else 0.0 end), 6) as coverage_50,
     round(1 - avg((y - q50) ** 2) / var_pop(y), 6) as r2_median from l""")
 def m5(spark, d):
-    s = split(spark, d).filter("not is_train")
-    return rounded(models.quantile_scores(s, table(spark, d), ["activity"]))
+    s = split(spark, d)
+    return rounded(models.quantile_scores(s.filter("not is_train"), table(s), ["activity"]))
 
 
 @query("M6_curve_at", """with u as (select session_order, activity, (session_order % 100) / 100 as u from {msplit} where not is_train),
@@ -90,8 +90,9 @@ def m5(spark, d):
     (q1 - q) * (u - level) / (l1 - level)) filter (level <= u and u < l1) end) - 1), 3) as duration_s from p
     group by session_order, u""")
 def m6(spark, d):
-    s = split(spark, d).filter("not is_train").withColumn("u", (F.col("session_order") % 100) / 100)
-    c = models.curve_at(models.with_curve(s, table(spark, d), ["activity"]).drop("duration_s"), "u")
+    rows = split(spark, d)
+    s = rows.filter("not is_train").withColumn("u", (F.col("session_order") % 100) / 100)
+    c = models.curve_at(models.with_curve(s, table(rows), ["activity"]).drop("duration_s"), "u")
     return rounded(c.select("session_order", "duration_s"), 3)
 
 
@@ -170,7 +171,7 @@ def m8c(spark, d):
     from {training} t join a on a.l = activity join r on r.l = resource join p on p.l = previous_activity""")
 def m9(spark, d):
     from pyspark.ml.functions import vector_to_array
-    s = sessions(spark, d)
+    s = staged(sessions(spark, d))
     x = models.feature_matrix(models.encoded(s, models.encoders(s)))
     v = vector_to_array("features")
     return rounded(x.select("session_order", *[v[i].alias(f"f{i}") for i in range(8)]))

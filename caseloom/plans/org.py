@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.staging import staged
 from ..operators import org
 from .base import part as _part, query as _query, simple_log
 
@@ -156,8 +157,8 @@ part("somecaps", "select * from {recall} where (grp + length(at) + length(tt)) %
 
 
 def some_caps(spark, d):
-    return org.full_recall(rlog(spark, d), members(spark, d)).filter(
-        "(grp + length(at) + length(tt)) % 3 <> 0")
+    return staged(org.full_recall(rlog(spark, d), members(spark, d)).filter(
+        "(grp + length(at) + length(tt)) % 3 <> 0"))
 
 
 @query("O8_conformance", F1 % conformance_sql("select * from {somecaps}", "some"))
@@ -218,8 +219,8 @@ part("ask", """select distinct activity, case when activity = 'view' then null e
 
 def wild_caps(spark, d):
     c = some_caps(spark, d).filter("tt <> 'TT.Sunday' and not (ct = 'CT.g2' and at = 'AT.error')")
-    return c.select("grp", F.when(F.length("at") % 2 == 1, "").otherwise(F.col("ct")).alias("ct"), "at",
-                    F.when(F.col("grp") == 9, "").otherwise(F.col("tt")).alias("tt")).distinct()
+    return staged(c.select("grp", F.when(F.length("at") % 2 == 1, "").otherwise(F.col("ct")).alias("ct"), "at",
+                    F.when(F.col("grp") == 9, "").otherwise(F.col("tt")).alias("tt")).distinct())
 
 
 def asked(spark, d):
