@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.columns import fractional_hour, monday_dow, ratio, seconds_between
+from ..functions.columns import col, fractional_hour, monday_dow, ratio, seconds_between
 from ..functions.ordered import along, following, nth, total_upto
 from ..functions.quantiles import quantiles
 from .shape import ntz
@@ -243,7 +243,7 @@ def rostered(seed: int | None, resource="resource", date="date", p="p_work") ->
     """
     if seed is None:
         return F.lit(True)
-    pw = F.coalesce(F.col(p), F.lit(0.0))
+    pw = F.coalesce(col(p), F.lit(0.0))
     text = F.concat_ws("|", F.lit(str(seed)), F.col(resource), F.col(date).cast("string"))
     u = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("double") / F.lit(float(1 << 60))
     return F.when(pw <= 0, False).when(pw >= 1, True).otherwise(u < pw)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +14,8 @@ def spark(tmp_path_factory):
          .config("spark.sql.shuffle.partitions", "4")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", "6g")
          .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("wh")))
          .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("cp")))
