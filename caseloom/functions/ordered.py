@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .columns import col, micros
+from .staging import size_bound, sized
 
 HEAVY_ROWS = 20_000_000
 MAX_HEAVY_KEYS = 5_000
@@ -93,24 +94,21 @@ def heavy_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.caseloom.heavyRows", str(HEAVY_ROWS)))
 
 
-def surely_small(df: DataFrame) -> bool:
+def surely_small(df: DataFrame, share: float = 1.0) -> bool:
     """True if the optimizer's own size bound says one task could hold it all."""
-    if heavy_rows(df) != HEAVY_ROWS:
-        return False
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes())) <= SMALL_BYTES
-    except Exception:  # no statistics on this kind of session
-        return False
-
-
-def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """The hot keys as a small DataFrame, or None if there are none."""
-    if surely_small(df):
+    return heavy_rows(df) == HEAVY_ROWS and size_bound(df) <= SMALL_BYTES * share
+
+
+def heavy_keys(df: DataFrame, keys: list[str], share: float = 1.0) -> DataFrame | None:
+    """The hot keys as a small DataFrame, or None if there are none.
+
+    ``share`` scales the number of rows a key may have before it is hot.
+    """
+    if surely_small(df, share):
         return None
     found = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
              .orderBy(F.col("__n").desc()).limit(MAX_HEAVY_KEYS)
-             .filter(F.col("__n") > heavy_rows(df)).drop("__n").collect())
+             .filter(F.col("__n") > heavy_rows(df) * share).drop("__n").collect())
     if not found:
         return None
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
@@ -122,35 +120,52 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
                   [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def split_heavy(df: DataFrame, keys: list[str], base: list[str] | None = None):
-    """(ordinary rows, hot rows or None); ``base`` is a coarser key to test."""
-    base = base or keys
-    hot = heavy_keys(df, base)
+AUTO = object()         # look for hot keys in the data
+
+
+def split_heavy(df: DataFrame, keys: list[str], hot=AUTO, share: float = 1.0):
+    """(ordinary rows, rows of hot keys or None)."""
+    hot = heavy_keys(df, keys, share) if hot is AUTO else hot
     if hot is None:
         return df, None
     hot = F.broadcast(hot)
-    return (df.join(hot, _same(df, hot, base), "left_anti"),
-            df.join(hot, _same(df, hot, base), "left_semi"))
+    return (df.join(hot, _same(df, hot, keys), "left_anti"),
+            df.join(hot, _same(df, hot, keys), "left_semi"))
 
 
 def along(df: DataFrame, keys: list[str], order: list[str],
-          steps: dict[str, Step], log_blocks: bool = False) -> DataFrame:
+          steps: dict[str, Step], log_blocks: bool = False, hot=AUTO) -> DataFrame:
     """Add one column per step, computed over ``keys`` in ``order``.
 
     ``order`` must break all ties. ``log_blocks`` spaces the blocks of a hot key
-    by magnitude, for long-tailed values.
+    by magnitude, for long-tailed values. ``hot`` is the result of ``heavy_keys``
+    where the caller already has it.
     """
     if not keys:
         if surely_small(df):
             return _plain(df, [], order, steps)
         return _blocked(df, [], order, steps, log_blocks)
-    cold, hot = split_heavy(df, keys)
+    cold, hot = split_heavy(df, keys, hot)
     out = _plain(cold, keys, order, steps)
     if hot is not None:
         out = out.unionByName(_blocked(hot, keys, order, steps, log_blocks))
     return out
 
 
+def by_part(df: DataFrame, keys: list[str], body) -> DataFrame:
+    """Run a computation of several ordered passes over the same keys.
+
+    ``body(rows, run)`` calls ``run(rows, steps, order)`` for each pass. The rows
+    are split by hot keys once, not once per pass.
+    """
+    cold, hot = split_heavy(df, keys)
+    out = body(cold, lambda d, order, steps: _plain(d, keys, order, steps))
+    if hot is not None:
+        out = out.unionByName(body(hot, lambda d, order, steps: _blocked(
+            d, keys, order, steps, False)))
+    return out
+
+
 def _window_value(step: Step, w, frame) -> Column:
     if step.kind == "nth":
         return F.row_number().over(w).cast("bigint") - F.lit(1)
@@ -209,6 +224,7 @@ def _block_column(df, keys, order, log_blocks):
 
 
 def _blocked(df, keys, order, steps, log_blocks):
+    df = sized(df, SMALL_BYTES)     # read several times below
     columns = df.columns
     vals = {n: f"__v{i}" for i, n in enumerate(steps)}
     df = _block_column(df, keys, order, log_blocks)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .ordered import along, split_heavy, surely_small, total_before, _blocked
 
+SHARE = 0.1     # the aggregate keeps a group's values in memory: call a group hot earlier
+
 
 def quantiles(df: DataFrame, keys: list[str], value: str,
               probs: dict[str, float]) -> DataFrame:
@@ -20,9 +22,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str,
     df = df.select(*keys, F.col(value).cast("double").alias("__v")) \
            .filter(F.col("__v").isNotNull())
     if keys:
-        cold, hot = split_heavy(df, keys)
+        cold, hot = split_heavy(df, keys, share=SHARE)
     else:
-        cold, hot = (df, None) if surely_small(df) else (None, df)
+        cold, hot = (df, None) if surely_small(df, SHARE) else (None, df)
     parts = []
     if cold is not None:
         parts.append(cold.groupBy(*keys).agg(

@@ -27,3 +27,23 @@ def staged(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def size_bound(df: DataFrame) -> float:
+    """The optimizer's estimate of the table's size in bytes, infinite if unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no statistics on this kind of session
+        return float("inf")
+
+
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` with a size the planner knows.
+
+    A table that may be large for all the optimizer can tell (the groups of a big
+    log, say) is written once and read back. The join that uses it is then planned
+    from its true size: broadcast if small, shuffled if not.
+    """
+    if limit is None:
+        limit = 10 << 20
+    return df if size_bound(df) <= limit else staged(df)

@@ -17,7 +17,7 @@ from ..functions.columns import finite, ratio
 from ..functions.ordered import along, total_upto
 from ..functions.quantiles import quantiles
 from ..functions.special import digamma, kolmogorov_tail, lgamma, trigamma
-from ..functions.staging import staged
+from ..functions.staging import sized, staged
 from .stats import arrival_profile
 
 MIN_POINTS = 5          # fixed value: fewer points get an exponential on the mean
@@ -117,7 +117,8 @@ def weibull_form(values: DataFrame, s: DataFrame, keys: list[str], value: str) -
         cur = cur.select(*keys, "mean_log", (F.col("__c") + F.col("__d")).alias("__c"),
                          F.expr(_series("__d", 0)).alias("__w0"))
         if turn < WEIBULL_PASSES - 1:
-            cur = cur.drop("__w0")
+            # one row per group; its true size decides whether the next join shuffles
+            cur = sized(cur.drop("__w0"))
     t = s.join(cur.drop("mean_log"), keys)
     c, n, log_m = F.col("__c"), F.col("n"), F.col("mean_log")
     scale = F.exp(log_m) * F.pow(F.col("__w0") / n, 1.0 / c)

@@ -15,7 +15,7 @@ from pyspark.sql import Window
 
 from ..functions.columns import (CASE_END, START, TERMINALS, fractional_hour, monday_dow, ratio,
                                  seconds_between, starts_with_any)
-from ..functions.ordered import (along, following, latest_before, latest_upto, nth, preceding,
+from ..functions.ordered import (along, by_part, following, latest_before, latest_upto, nth, preceding,
                                  total_before)
 from ..functions.quantiles import quantiles
 from . import fit
@@ -44,11 +44,15 @@ def segment(df: DataFrame) -> DataFrame:
     log is shuffled and sorted once.
     """
     order = order_of(df)
+    return by_part(work_rows(df), KEYS, lambda rows, run: _segment(rows, order, run))
+
+
+def _segment(rows: DataFrame, order: list[str], run) -> DataFrame:
     lc = F.col("lifecycle")
-    w = along(work_rows(df), KEYS, order, {
+    w = run(rows, order, {
         "pos": nth(), "instance": total_before(lc.isin(*TERMINALS).cast("int"))})
     pos = F.col("pos")
-    w = along(w, KEYS, order, {
+    w = run(w, order, {
         "__term": latest_before(F.when(lc.isin(*TERMINALS), pos)),
         "__start": latest_before(F.when(lc == "start", pos)),
         "__make": latest_before(F.when(lc.isin("schedule", "start"), pos)),
@@ -63,7 +67,7 @@ def segment(df: DataFrame) -> DataFrame:
         "terminal": lc.isin(*TERMINALS),
         "__creates": lc.isin("schedule", "start")
         & (F.coalesce("__make", F.lit(-1)) <= floor)})
-    w = along(w, KEYS, order, {
+    w = run(w, order, {
         "running_since": latest_before(F.when(F.col("opens"), F.col("timestamp"))),
         "suspended_at": latest_before(F.when(F.col("stops"), F.col("timestamp"))),
         "__made": latest_upto(F.when(F.col("__creates"),
@@ -240,32 +244,38 @@ def case_duration_envelope(df: DataFrame) -> DataFrame:
         "runtime_scale", F.lit(RUNTIME_SCALE))
 
 
-def training_sessions(df: DataFrame, max_seconds: float = 7 * 86400.0) -> DataFrame:
-    """One row per active session with the context of the item's first start.
-
-    Differs from ``segment``: a resume opens whether or not the item was
-    suspended, items still open at the end of the log count, and a withdraw ends
-    no session.
-    """
-    order = order_of(df)
+def _sessions(rows: DataFrame, order: list[str], run) -> DataFrame:
+    """Work-item rows with instance number and, where a session ends, its seconds."""
     lc = F.col("lifecycle")
-    w = along(work_rows(df), KEYS, order, {
+    w = run(rows, order, {
         "pos": nth(), "instance": total_before(lc.isin(*TERMINALS).cast("int"))})
     pos = F.col("pos")
-    w = along(w, KEYS, order, {
+    w = run(w, order, {
         "__term": latest_before(F.when(lc.isin(*TERMINALS), pos)),
         "__make": latest_upto(F.when(lc.isin("schedule", "start"), pos))})
     floor = F.coalesce("__term", F.lit(-1))
     # the item exists from its first schedule/start on; earlier rows are ignored
-    w = w.withColumn("__live", F.coalesce("__make", F.lit(-1)) > floor)
-    opens = (lc == "start") | ((lc == "resume") & F.col("__live"))
-    w = along(w.withColumn("__opens", opens), KEYS, order, {
+    live = F.coalesce("__make", F.lit(-1)) > floor
+    w = w.withColumn("__opens", (lc == "start") | ((lc == "resume") & live))
+    w = run(w, order, {
         "__last": latest_before(F.when(F.col("__opens") | (lc == "suspend"),
                                        F.struct("pos", "timestamp", "__opens")))})
     running = F.col("__last.__opens") & (F.col("__last.pos") > floor)
-    w = w.withColumn("duration_s", F.when(
+    return w.withColumn("duration_s", F.when(
         running & lc.isin("suspend", "complete", "ate_abort"),
         seconds_between("__last.timestamp", "timestamp")))
+
+
+def training_sessions(df: DataFrame, max_seconds: float = 7 * 86400.0) -> DataFrame:
+    """One row per active session with the context of the item's first start.
+
+    Differs from ``segment``: a resume opens whether or not the item was
+    suspended, items still open at the end of the log count, and a withdraw ends
+    no session.
+    """
+    order = order_of(df)
+    lc = F.col("lifecycle")
+    w = by_part(work_rows(df), KEYS, lambda rows, run: _sessions(rows, order, run))
     at = F.struct(*[F.col(c) for c in order])
     first = F.when(lc == "start", at)
     items = w.groupBy(*KEYS, "instance").agg(

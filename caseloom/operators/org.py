@@ -23,7 +23,7 @@ from ..functions.blocks import dense, pairwise
 from ..functions.columns import ratio, total
 from ..functions.ordered import along, following
 from ..functions.quantiles import quantiles
-from ..functions.staging import staged
+from ..functions.staging import sized, staged
 from .shape import order_of
 
 CTX = ["case_type", "activity_type", "time_type"]
@@ -112,7 +112,7 @@ def case_profiles(df: DataFrame) -> DataFrame:
     tf = df.groupBy("case_id", "activity").agg(F.count(F.lit(1)).alias("tf"))
     idf = tf.groupBy("activity").agg(F.count(F.lit(1)).alias("d")).select(
         "activity", (F.log((n + 1.0) / (F.col("d") + 1.0)) + 1.0).alias("idf"))
-    w = tf.join(idf, "activity").withColumn("w", F.col("tf") * F.col("idf"))
+    w = tf.join(sized(idf), "activity").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("case_id")))
     return w.select("case_id", "activity", (F.col("w") / norm).alias("weight"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import START, monday_dow, seconds_between
-from ..functions.ordered import (along, following, lowest_before, lowest_upto, nth, preceding,
+from ..functions.ordered import (along, by_part, following, lowest_before, lowest_upto, nth, preceding,
                                  total_upto)
 from .shape import ntz, order_of
 
@@ -84,8 +84,11 @@ def fifo_pairs(df: DataFrame) -> DataFrame:
     keys, order = ["case_id", "activity"], order_of(df)
     rows = df.filter(F.col("lifecycle").isin("start", "complete"))
     move = F.when(F.col("lifecycle") == "start", 1).otherwise(-1)
-    rows = along(rows, keys, order, {"__bal": total_upto(move)})
-    rows = along(rows, keys, order, {"__low": lowest_before("__bal")})
+
+    def balance(part, run):
+        part = run(part, order, {"__bal": total_upto(move)})
+        return run(part, order, {"__low": lowest_before("__bal")})
+    rows = by_part(rows, keys, balance)
     orphan = ((F.col("lifecycle") == "complete") & (F.col("__bal") < 0)
               & (F.col("__bal") < F.coalesce("__low", F.lit(0))))
     return pair_by_rank(rows.filter(~orphan).drop("__bal", "__low"), opens=("start",))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import START, col, monday_dow, starts_with_any
-from ..functions.ordered import along, following, nth, preceding
+from ..functions.ordered import AUTO, along, following, nth, preceding
+from ..functions.staging import sized
 
 ORDER = ["timestamp", "event_order"]
 
@@ -37,7 +38,7 @@ def one_per_occurrence(df: DataFrame) -> DataFrame:
     never = (df.groupBy("activity").agg(F.max(F.coalesce(low == "complete", F.lit(False)))
                                         .alias("done"))
              .filter(~F.col("done")).select("activity"))
-    starts = df.filter(low == "start").join(never, "activity", "left_semi")
+    starts = df.filter(low == "start").join(sized(never), "activity", "left_semi")
     return df.filter(low == "complete").unionByName(starts.select(*df.columns))
 
 
@@ -59,8 +60,8 @@ def with_prefixes(df: DataFrame, prefixes: Sequence[str] | None,
     return df.filter(starts_with_any(column, list(prefixes)))
 
 
-def next_activity(df: DataFrame, keep_last: bool = False) -> DataFrame:
-    out = along(df, ["case_id"], order_of(df), {"next_activity": following("activity")})
+def next_activity(df: DataFrame, keep_last: bool = False, hot=AUTO) -> DataFrame:
+    out = along(df, ["case_id"], order_of(df), {"next_activity": following("activity")}, hot=hot)
     return out if keep_last else out.filter(F.col("next_activity").isNotNull())
 
 
@@ -76,9 +77,9 @@ def bucket(visit, cap: int) -> Column:
     return F.when(v < cap, v.cast("string")).otherwise(F.lit(f"{cap}+"))
 
 
-def visit_numbers(df: DataFrame, cap: int = 3) -> DataFrame:
+def visit_numbers(df: DataFrame, cap: int = 3, hot=AUTO) -> DataFrame:
     """1-based visit of the activity in its case, and its bucket."""
-    out = along(df, ["case_id", "activity"], order_of(df), {"__v": nth()})
+    out = along(df, ["case_id", "activity"], order_of(df), {"__v": nth()}, hot=hot)
     return (out.withColumn("visit", F.col("__v") + 1).drop("__v")
             .withColumn("visit_bucket", bucket("visit", cap)))
 
@@ -106,7 +107,7 @@ def human_work(df: DataFrame, origin: str = "Workflow",
     """Events of the given origin done by human accounts."""
     coverage = resource_coverage(df) if coverage is None else coverage
     humans = coverage.filter(F.col("role") == "human").select("resource")
-    return df.filter(F.col("event_origin") == origin).join(humans, "resource", "left_semi")
+    return df.filter(F.col("event_origin") == origin).join(sized(humans), "resource", "left_semi")
 
 
 def traces(df: DataFrame) -> DataFrame:
@@ -210,6 +211,7 @@ def label_dictionary(df: DataFrame, column: str, sentinels: Sequence[str]) -> Da
 def encode(df: DataFrame, column: str, dictionary: DataFrame, fallback: str,
            name: str) -> DataFrame:
     """Add ``name``: the label's code, or the fallback's code for unseen labels."""
+    dictionary = sized(dictionary)
     d = dictionary.select(F.col("label").alias("__l"), F.col("code").alias("__c"))
     spare = dictionary.filter(F.col("label") == fallback).select("code").scalar()
     return (df.join(d, F.col(column) == F.col("__l"), "left")

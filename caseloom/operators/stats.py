@@ -11,8 +11,9 @@ from pyspark.sql import Window
 
 from ..functions.columns import (ARROW, END, LOCAL_ZONE, micros, monday_dow, ratio,
                                  seconds_between, total)
-from ..functions.ordered import along, nth, preceding, total_upto
+from ..functions.ordered import along, heavy_keys, nth, preceding, total_upto
 from ..functions.quantiles import quantiles
+from ..functions.staging import sized
 from .shape import (ORDER, bucket, fingerprint_of, first_of_case, next_activity, ntz,
                     order_of, positions, traces, visit_numbers)
 
@@ -136,7 +137,10 @@ def branching(df: DataFrame) -> DataFrame:
 
 def branching_by_visit(df: DataFrame, cap: int = 3, min_samples: int = 30) -> DataFrame:
     """activity, visit_bucket, next_activity, n, p; sparse buckets are left out."""
-    steps = visit_numbers(next_activity(df, keep_last=True), cap)
+    # both looks for hot keys read the plain log; without a hot case there is no hot pair
+    hot = heavy_keys(df, ["case_id"])
+    pairs = None if hot is None else heavy_keys(df, ["case_id", "activity"])
+    steps = visit_numbers(next_activity(df, keep_last=True, hot=hot), cap, hot=pairs)
     c = (steps.filter(F.col("next_activity").isNotNull())
          .groupBy("activity", "visit_bucket", "next_activity")
          .agg(F.count(F.lit(1)).alias("n")))
@@ -156,10 +160,10 @@ def predict_next(rows: DataFrame, by_visit: DataFrame, overall: DataFrame,
 
     Terminal activities, and activities without an entry, predict null.
     """
-    a = _best(by_visit, ["activity", "visit_bucket"]).select(
+    a = _best(sized(by_visit), ["activity", "visit_bucket"]).select(
         "activity", F.col("visit_bucket").alias("__b"),
         F.col("next_activity").alias("__n1"), F.col("p").alias("__p1"))
-    b = _best(overall, ["activity"]).select(
+    b = _best(sized(overall), ["activity"]).select(
         "activity", F.col("next_activity").alias("__n2"), F.col("p").alias("__p2"))
     j = (rows.withColumn("__b", bucket("visit", cap))
          .join(a, ["activity", "__b"], "left").join(b, "activity", "left"))
@@ -309,7 +313,8 @@ def branch_weights(options: DataFrame, decision_table: DataFrame, visit_table: D
     activity and visit bucket, activity. A label missing there weighs
     ``RESIDUAL_WEIGHT``. Adds ``source`` and ``p``.
     """
-    dec = decision_table.select("dp_key", F.col("bucket").alias("__b"),
+    visit_table, overall = sized(visit_table), sized(overall)
+    dec = sized(decision_table).select("dp_key", F.col("bucket").alias("__b"),
                                 F.col("label").alias("label"), F.col("p").alias("__p"))
     def keyed(t, keys, tag, label="label"):
         p = t.select(*keys, F.col(label).alias("label"), F.col("__p").alias(f"__p_{tag}"))
