@@ -54,18 +54,18 @@ def fit_weekly(p: DataFrame, min_active_days: int = MIN_ACTIVE_DAYS,
     """
     days = p.groupBy("resource").agg(F.count(F.lit(1)).alias("__days"))
     occ = span_weekdays(p).withColumnRenamed("n", "__n")
-    rows = p.join(days, "resource")
-    per_dow = rows.groupBy("resource", "dow").agg(
-        F.count(F.lit(1)).alias("__worked"), F.max("__days").alias("__days"))
+    def rows_of(cond):
+        return p.join(days.filter(cond).select("resource"), "resource", "left_semi")
+    per_dow = p.groupBy("resource", "dow").agg(F.count(F.lit(1)).alias("__worked"))
     keys = ["resource", "dow"]
-    dense = rows.filter(F.col("__days") >= min_active_days)
+    dense = rows_of(F.col("__days") >= min_active_days)
     tier_a = (quantiles(dense, keys, "first", {"open_h": start_q})
               .join(quantiles(dense, keys, "last", {"close_h": end_q}), keys)
               .filter(F.col("close_h") > F.col("open_h")).withColumn("tier", F.lit("A")))
     windows = tier_a
     if sparse_floor is not None:
-        sparse = rows.filter((F.col("__days") >= sparse_floor)
-                             & (F.col("__days") < min_active_days))
+        sparse = rows_of((F.col("__days") >= sparse_floor)
+                         & (F.col("__days") < min_active_days))
         pooled = (quantiles(sparse, ["resource"], "first", {"__o": start_q})
                   .join(quantiles(sparse, ["resource"], "last", {"__c": end_q}), "resource")
                   .join(sparse.groupBy("resource").agg(F.min("first").alias("__lo"),
@@ -75,7 +75,7 @@ def fit_weekly(p: DataFrame, min_active_days: int = MIN_ACTIVE_DAYS,
                                .alias("open_h"),
                                F.when(good, F.col("__c")).otherwise(F.col("__hi"))
                                .alias("close_h")).filter(F.col("close_h") > F.col("open_h"))
-        seen = per_dow.select("resource", "dow")
+        seen = per_dow.select(*keys)
         windows = windows.unionByName(pooled.join(seen, "resource").withColumn(
             "tier", F.lit("B")).select(*tier_a.columns))
     out = windows.join(per_dow.select(*keys, "__worked"), keys).join(occ, "dow")
