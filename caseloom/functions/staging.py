@@ -1,24 +1,56 @@
-"""Intermediate tables for algorithms that read the same derived rows many times."""
+"""Intermediate tables for algorithms that read the same derived rows many times.
+
+They live in the folder all executors share, ``spark.checkpoint.dir``, under one
+folder per application that is removed when the application ends.
+"""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}      # application id -> folder of a local session
+_SEEN: set[str] = set()
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path under the shared folder the cluster names for checkpoints.
 
-    Only a session without that setting (a test) gets a local folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names.
+
+    A local session (driver and executors are one process, as in tests) may leave it
+    unset and gets a folder of its own. On a cluster that is an error: no other folder
+    is known to be seen by all executors.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return os.path.join(root, "caseloom-" + uuid.uuid4().hex)
+    if root:
+        return root
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[app]
+
+
+def _remove(spark: SparkSession, folder: str):
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:       # the JVM is gone already: nothing left to ask
+        pass
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, gone when the application ends."""
+    folder = os.path.join(shared_folder(spark), "caseloom-" + spark.sparkContext.applicationId)
+    if folder not in _SEEN:
+        _SEEN.add(folder)
+        atexit.register(_remove, spark, folder)
+    return os.path.join(folder, uuid.uuid4().hex)
 
 
 def staged(df: DataFrame) -> DataFrame:
