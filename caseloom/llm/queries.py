@@ -1,4 +1,4 @@
 """All queries of the text operators."""
 
-from . import bpe, quality, token_counts  # noqa: F401
+from . import bpe, language, quality, token_counts, toxicity  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

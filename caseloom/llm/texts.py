@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ship import ship
+
 #: A piece of work holds at most so many bytes of text, or one text.
 BATCH_BYTES = 4 << 20
 
@@ -31,6 +33,12 @@ def by_bytes(batches: Iterable[pa.RecordBatch], text: str,
             at = to
 
 
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with a function of this package, which the workers are sent first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def with_columns(docs: DataFrame, text: str, keep: list[str], fields: str,
                  make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """``keep`` columns of ``docs`` plus the columns ``fields`` that a function gives.
@@ -55,7 +63,7 @@ def with_columns(docs: DataFrame, text: str, keep: list[str], fields: str,
                 [b.column(i) for i in range(len(keep))]
                 + [pa.array(m, type=k) for m, k in zip(made, kinds)], names=names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, out)
+    return arrow_map(docs.select(*keep, F.col(text).alias("__text")), run, out)
 
 
 class Memo(dict):
