@@ -1,4 +1,4 @@
 """All queries of the text operators."""
 
-from . import bpe, language, packing, quality, token_counts, toxicity  # noqa: F401
+from . import bpe, language, packing, quality, substrings, token_counts, toxicity  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
