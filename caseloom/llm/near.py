@@ -375,6 +375,19 @@ def similarity_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n_links", "n_linked_texts")])
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                threshold: str = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each group of linked ones: that of the smallest id.
+
+    Rows without an id stay, and so do wordless texts; of rows that repeat one id and text
+    one stays.
+    """
+    told = similarity_join(docs, text, doc_id, (doc_id,), threshold)
+    gone = (told.filter((F.col(doc_id) != F.col("class_id")) & F.col(doc_id).isNotNull())
+            .select(doc_id).distinct())
+    return docs.join(gone, doc_id, "left_anti").dropDuplicates([doc_id, text])
+
+
 @query("op1_ngram_jaccard_join", r"""
 with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
     from documents),

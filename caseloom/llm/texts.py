@@ -54,16 +54,19 @@ def with_columns(docs: DataFrame, text: str, keep: list[str], fields: str,
              "binary": pa.binary()}
     kinds = [types[f.dataType.simpleString()] for f in T.StructType.fromDDL(fields).fields]
 
+    name = names[keep.index(text)] if text in keep else "__text"
+
     def run(batches):
         fn = None
-        for b in by_bytes(batches, "__text"):
+        for b in by_bytes(batches, name):
             fn = fn or make()
-            made = fn(b.column("__text").to_pylist())
+            made = fn(b.column(name).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))]
                 + [pa.array(m, type=k) for m, k in zip(made, kinds)], names=names)
 
-    return arrow_map(docs.select(*keep, F.col(text).alias("__text")), run, out)
+    more = [] if text in keep else [F.col(text).alias(name)]
+    return arrow_map(docs.select(*keep, *more), run, out)
 
 
 class Memo(dict):
