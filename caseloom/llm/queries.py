@@ -1,4 +1,5 @@
 """All queries of the text operators."""
 
-from . import bpe, language, near, packing, quality, substrings, token_counts, toxicity  # noqa: F401
+from . import (bpe, language, near, neighbours, packing, quality, substrings,  # noqa: F401
+               token_counts, toxicity)  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
