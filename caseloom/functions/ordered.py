@@ -1,16 +1,12 @@
 """Ordered computations that survive a hot key.
 
 ``along`` adds lead/lag, row numbers and running values over ``keys`` ordered by
-``order``. Ordinary keys use plain window functions. A key that holds so many
-rows that one task should not sort it alone is cut into time (or value) blocks:
-the same window runs inside each block, each block is summarised to one row, a
-window over the small summary gives every block what it must carry in, and the
-two are joined. The result is the same, row for row.
-
-Which keys are hot is read from the data. The list holds at most
-``MAX_HEAVY_KEYS`` keys whatever the data size, so it is safe to broadcast; a key
-outside the list holds at most ``total rows / MAX_HEAVY_KEYS`` rows or fewer
-than ``HEAVY_ROWS``.
+``order``. There is one path for every size. The rows are cut into as many blocks as a
+shuffle has partitions, by a range split on keys *and* the whole order, tie-breaker
+included, so a burst, a tie or an outlier fills no block. The split is written once, and
+with it each row's block; the same window then runs inside (keys, block), each block is
+summarised to one row, a window over the small summary gives every block what it must
+carry in, and the two are joined.
 """
 
 from __future__ import annotations
@@ -20,17 +16,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .columns import col, micros
-from .staging import size_bound, sized
-
-HEAVY_ROWS = 20_000_000
-MAX_HEAVY_KEYS = 5_000
-BLOCKS_PER_KEY = 1_024
-BLOCKS_WHOLE = 65_536
-SMALL_BYTES = 256 << 20
+from .columns import col
+from .staging import staged
 
 
 @dataclass(frozen=True)
@@ -90,80 +79,32 @@ def highest_upto(c) -> Step:
     return Step("highest", col(c))
 
 
-def heavy_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.caseloom.heavyRows", str(HEAVY_ROWS)))
-
-
-def surely_small(df: DataFrame, share: float = 1.0) -> bool:
-    """True if the optimizer's own size bound says one task could hold it all."""
-    return heavy_rows(df) == HEAVY_ROWS and size_bound(df) <= SMALL_BYTES * share
-
-
-def heavy_keys(df: DataFrame, keys: list[str], share: float = 1.0) -> DataFrame | None:
-    """The hot keys as a small DataFrame, or None if there are none.
-
-    ``share`` scales the number of rows a key may have before it is hot.
-    """
-    if surely_small(df, share):
-        return None
-    found = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-             .orderBy(F.col("__n").desc()).limit(MAX_HEAVY_KEYS)
-             .filter(F.col("__n") > heavy_rows(df) * share).drop("__n").collect())
-    if not found:
-        return None
-    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
-    return df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b,
-                  [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-AUTO = object()         # look for hot keys in the data
-
-
-def split_heavy(df: DataFrame, keys: list[str], hot=AUTO, share: float = 1.0):
-    """(ordinary rows, rows of hot keys or None)."""
-    hot = heavy_keys(df, keys, share) if hot is AUTO else hot
-    if hot is None:
-        return df, None
-    hot = F.broadcast(hot)
-    return (df.join(hot, _same(df, hot, keys), "left_anti"),
-            df.join(hot, _same(df, hot, keys), "left_semi"))
+def in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``__b``, the block of a range split on keys and order, written once."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(n, *keys, *order)
+                  .withColumn("__b", F.spark_partition_id()))
 
 
 def along(df: DataFrame, keys: list[str], order: list[str],
-          steps: dict[str, Step], log_blocks: bool = False, hot=AUTO) -> DataFrame:
+          steps: dict[str, Step]) -> DataFrame:
     """Add one column per step, computed over ``keys`` in ``order``.
 
-    ``order`` must break all ties. ``log_blocks`` spaces the blocks of a hot key
-    by magnitude, for long-tailed values. ``hot`` is the result of ``heavy_keys``
-    where the caller already has it.
+    ``order`` must break all ties.
     """
-    if not keys:
-        if surely_small(df):
-            return _plain(df, [], order, steps)
-        return _blocked(df, [], order, steps, log_blocks)
-    cold, hot = split_heavy(df, keys, hot)
-    out = _plain(cold, keys, order, steps)
-    if hot is not None:
-        out = out.unionByName(_blocked(hot, keys, order, steps, log_blocks))
-    return out
+    columns = df.columns
+    vals = {n: f"__v{i}" for i, n in enumerate(steps)}
+    df = in_blocks(df.select("*", *[s.value.alias(vals[n]) for n, s in steps.items()
+                                    if s.value is not None]), keys, order)
+    return _carried(df, columns, vals, keys, order, steps)
 
 
 def by_part(df: DataFrame, keys: list[str], body) -> DataFrame:
     """Run a computation of several ordered passes over the same keys.
 
-    ``body(rows, run)`` calls ``run(rows, steps, order)`` for each pass. The rows
-    are split by hot keys once, not once per pass.
+    ``body(rows, run)`` calls ``run(rows, steps, order)`` for each pass.
     """
-    cold, hot = split_heavy(df, keys)
-    out = body(cold, lambda d, order, steps: _plain(d, keys, order, steps))
-    if hot is not None:
-        out = out.unionByName(body(hot, lambda d, order, steps: _blocked(
-            d, keys, order, steps, False)))
-    return out
+    return body(df, lambda d, order, steps: along(d, keys, order, steps))
 
 
 def _window_value(step: Step, w, frame) -> Column:
@@ -183,53 +124,7 @@ def _window_value(step: Step, w, frame) -> Column:
     return F.max(step.value).over(over)
 
 
-def _plain(df, keys, order, steps):
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.select("*", *[_window_value(s, w, None).alias(n)
-                            for n, s in steps.items()])
-
-
-def _block_column(df, keys, order, log_blocks):
-    """Add ``__b``: a coarse, order-preserving number of the first order column."""
-    kind = df.schema[order[0]].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        pos = micros(order[0]).cast("double")
-    elif isinstance(kind, T.StringType):
-        # the first three code points: the order of strings is kept
-        pos = sum((F.coalesce(F.ascii(F.substring(order[0], i + 1, 1)), F.lit(0)).cast("double")
-                   * float(1 << (21 * (2 - i))) for i in range(3)), F.lit(0.0))
-    else:
-        pos = F.col(order[0]).cast("double")
-    if log_blocks:
-        return df.withColumn("__b", F.coalesce(
-            F.floor(F.signum(pos) * F.log1p(F.abs(pos)) * F.lit(256.0)), F.lit(-(1 << 40))))
-    n = BLOCKS_PER_KEY if keys else BLOCKS_WHOLE
-    df = df.withColumn("__pos", pos)
-    edges = [F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi")]
-    if keys:
-        # one row per hot key: at most MAX_HEAVY_KEYS rows
-        b = df.groupBy(*keys).agg(*edges)
-        b = F.broadcast(b.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                                 "__lo", "__hi"))
-        cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}"))
-                                           for i, k in enumerate(keys)])
-        df = df.join(b, cond).drop(*[f"__k{i}" for i in range(len(keys))])
-        lo, hi = F.col("__lo"), F.col("__hi")
-    else:
-        row = df.agg(*edges).first()
-        lo, hi = F.lit(row["__lo"] or 0.0), F.lit(row["__hi"] or 0.0)
-    width = F.greatest((hi - lo) / F.lit(float(n)), F.lit(1e-9))
-    blk = F.coalesce(F.floor((F.col("__pos") - lo) / width), F.lit(-1))
-    return df.withColumn("__b", blk).drop("__pos", "__lo", "__hi")
-
-
-def _blocked(df, keys, order, steps, log_blocks):
-    df = sized(df, SMALL_BYTES)     # read several times below
-    columns = df.columns
-    vals = {n: f"__v{i}" for i, n in enumerate(steps)}
-    df = _block_column(df, keys, order, log_blocks)
-    df = df.select("*", *[s.value.alias(vals[n]) for n, s in steps.items()
-                          if s.value is not None])
+def _carried(df, columns, vals, keys, order, steps):
     w = Window.partitionBy(*keys, "__b").orderBy(*order)
     inner = df.select(
         "*", (F.row_number().over(w).cast("bigint") - F.lit(1)).alias("__rn"),

@@ -1,9 +1,8 @@
 """Exact, linearly interpolated quantiles per group.
 
-Ordinary groups use Spark's exact ``percentile`` aggregate. That aggregate keeps
-a group's distinct values in one task, so a hot group goes another way: values
-are counted, ranked with block-wise running totals, and the two order statistics
-around each quantile are picked out and interpolated.
+Values are counted, ranked with running totals that are split over tasks however large a
+group is, and the two order statistics around each quantile are picked out and
+interpolated.
 """
 
 from __future__ import annotations
@@ -11,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import along, split_heavy, surely_small, total_before, _blocked
-
-SHARE = 0.1     # the aggregate keeps a group's values in memory: call a group hot earlier
+from .ordered import along, total_before
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str,
@@ -21,27 +18,17 @@ def quantiles(df: DataFrame, keys: list[str], value: str,
     """keys + one double column per entry of ``probs``; null values are ignored."""
     df = df.select(*keys, F.col(value).cast("double").alias("__v")) \
            .filter(F.col("__v").isNotNull())
-    if keys:
-        cold, hot = split_heavy(df, keys, share=SHARE)
-    else:
-        cold, hot = (df, None) if surely_small(df, SHARE) else (None, df)
-    parts = []
-    if cold is not None:
-        parts.append(cold.groupBy(*keys).agg(
-            *[F.expr(f"percentile(__v, {p!r}D)").alias(n) for n, p in probs.items()]))
-    if hot is not None:
-        parts.append(_ranked(hot, keys, probs))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _ranked(df, keys, probs):
     counted = df.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    placed = _blocked(counted, keys, ["__v"], {"__before": total_before("__c")}, True)
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    placed = along(counted, keys, ["__v"], {"__before": total_before("__c")})
+    size = placed.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     if keys:
-        placed = placed.join(F.broadcast(size), keys)  # hot groups only: bounded
+        size = size.select(*[F.col(k).alias(f"__q{i}") for i, k in enumerate(keys)], "__n")
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__q{i}"))
+        placed = placed.join(size, same)
     else:
-        placed = placed.withColumn("__n", F.lit(size.first()["__n"]))
+        placed = placed.withColumn("__n", size.scalar())
     aggs, out = [], []
     for i, (n, p) in enumerate(probs.items()):
         h = F.lit(float(p)) * (F.col("__n") - 1)

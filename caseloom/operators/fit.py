@@ -235,7 +235,7 @@ def two_sample_ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
         .unionByName(b.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("a"),
                               F.lit(1).alias("b"))).filter(F.col("v").isNotNull())
     c = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run = along(c, [], ["v"], {"ca": total_upto("a"), "cb": total_upto("b")}, log_blocks=True)
+    run = along(c, [], ["v"], {"ca": total_upto("a"), "cb": total_upto("b")})
     n = both.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     na, nb = n.select("na").scalar(), n.select("nb").scalar()
     out = run.agg(F.max(F.abs(F.col("ca") / na - F.col("cb") / nb)).alias("statistic")) \

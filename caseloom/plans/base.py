@@ -95,10 +95,10 @@ def chat_log(spark, d) -> DataFrame:
         F.col("turn").alias("event_order"))
 
 
-def purchase_log(spark, d) -> DataFrame:
-    """Purchases as presence signals: resource = user."""
-    return table(spark, d, "events").filter("event_type = 'purchase'").select(
-        F.col("user_id").cast("string").alias("resource"),
+def presence_log(spark, d) -> DataFrame:
+    """Events as presence signals: resource = user and event type."""
+    return table(spark, d, "events").select(
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("resource"),
         F.col("ts").alias("timestamp"), F.col("event_id").alias("event_order"))
 
 
@@ -133,8 +133,8 @@ LOGS = {
         o_totalprice as requested_amount from orders""",
     "chat": """select cast(conv_id as varchar) as case_id, role as activity,
         turn as event_order from conversations""",
-    "buys": """select cast(user_id as varchar) as resource, ts as "timestamp",
-        event_id as event_order from events where event_type = 'purchase'""",
+    "seen": """select cast(user_id as varchar) || '-' || event_type as resource, ts as "timestamp",
+        event_id as event_order from events""",
     "ships": """select cast(l_suppkey as varchar) as resource,
         cast(l_shipdate as date) as "date" from lineitem""",
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import micros, monday_dow, rounded
 from ..functions.staging import staged
 from ..operators import calendars as cal
-from .base import lifecycle_log, part, purchase_log, query, secs, ship_log, simple_log
+from .base import lifecycle_log, part, presence_log, query, secs, ship_log, simple_log
 
 H = """(hour({t}) + minute({t}) / 60.0::double + floor(second({t})) / 3600.0::double)"""
 HT = H.format(t='"timestamp"')
@@ -13,7 +13,7 @@ MIN_DAYS = 8        # the given presence table is short: about 11 active days pe
 
 part("pres", f"""select resource, cast("timestamp" as date) as "date", min({HT}) as "first",
     max({HT}) as "last", count(*) as n_events, cast(isodow(any_value("timestamp")) - 1 as int) as dow,
-    max({HT}) - min({HT}) as span from {{buys}} group by 1, 2""")
+    max({HT}) - min({HT}) as span from {{seen}} group by 1, 2""")
 part("occ", """select cast(isodow(x) - 1 as int) as dow, count(*) as n from (select unnest(generate_series(
     min("date"), max("date"), interval 1 day)) as x from {pres}) group by 1""")
 part("cnt", """select resource, count(*) as days from {pres} group by 1""")
@@ -38,7 +38,7 @@ part("win", "select * from {wina} union all select * from {winb}")
 
 
 def pres(spark, d):
-    return cal.presence(purchase_log(spark, d))
+    return cal.presence(presence_log(spark, d))
 
 
 def windows(spark, d, sparse=1):
@@ -67,15 +67,15 @@ def r3(spark, d):
 
 @query("J12_window_lookup", f"""select resource, event_order, open_h <= h and h <= close_h as inside
     from (select resource, event_order, cast(isodow("timestamp") - 1 as int) as dow, {HT} as h
-    from {{buys}}) join {{win}} using (resource, dow)""")
+    from {{seen}}) join {{win}} using (resource, dow)""")
 def j12(spark, d):
-    return cal.window_hits(purchase_log(spark, d), windows(spark, d)).select(
+    return cal.window_hits(presence_log(spark, d), windows(spark, d)).select(
         "resource", "event_order", "inside")
 
 
 def evaluate(win):
     return f"""select (select avg(case when open_h <= h and h <= close_h then 1.0 else 0.0 end) from
-    (select resource, cast(isodow("timestamp") - 1 as int) as dow, {HT} as h from {{buys}})
+    (select resource, cast(isodow("timestamp") - 1 as int) as dow, {HT} as h from {{seen}})
     join ({win}) using (resource, dow)) as coverage, (select sum(s) / sum((close_h - open_h) * n) from
     ({win}) join (select resource, dow, count(*) as n, sum(span) as s from {{pres}} group by 1, 2)
     using (resource, dow)) as window_utilisation"""
@@ -85,7 +85,7 @@ def evaluate(win):
     as window_utilisation, (select count(distinct resource) from {{win}}) as resources_modelled
     from ({evaluate('select * from {win}')})""")
 def r4(spark, d):
-    return rounded(cal.evaluate_weekly(windows(spark, d), purchase_log(spark, d), pres(spark, d)))
+    return rounded(cal.evaluate_weekly(windows(spark, d), presence_log(spark, d), pres(spark, d)))
 
 
 SWEEP = " union all ".join(f"""select '{n}' as "window", * from ({evaluate(tier_a(lo, hi))})"""
@@ -97,7 +97,7 @@ SWEEP += f""" union all select 'global 9-17', * from ({evaluate(
 @query("R5_window_sweep", f"""select "window", round(coverage, 6) as coverage,
     round(window_utilisation, 6) as window_utilisation from ({SWEEP})""")
 def r5(spark, d):
-    return rounded(cal.window_sweep(purchase_log(spark, d), pres(spark, d), MIN_DAYS))
+    return rounded(cal.window_sweep(presence_log(spark, d), pres(spark, d), MIN_DAYS))
 
 
 part("head", """select x::date as "date", count(distinct resource) as headcount from (select
@@ -209,29 +209,32 @@ HOLS = "(date '2024-01-01', date '2024-01-15')"
 
 
 def small_calendar(spark, d):
-    """Holidays, leave on each resource's first purchase day, two system accounts."""
-    log = purchase_log(spark, d)
+    """Holidays, leave on each resource's first day, two system accounts; the windows of two
+    resources stand under other names, so that these have none."""
+    log = presence_log(spark, d)
     hol = spark.range(1).select(F.explode(F.expr(
         "array(date'2024-01-01', date'2024-01-15')")).alias("date"))
     vac = log.groupBy("resource").agg(F.min(F.to_date("timestamp")).alias("date"))
-    sys = spark.range(1).select(F.explode(F.array(F.lit("1"), F.lit("2"))).alias("resource"))
-    w = staged(windows(spark, d, sparse=None).filter("resource not in ('1', '3')"))
+    sys = spark.range(1).select(F.explode(F.array(F.lit("1-view"), F.lit("2-view"))).alias("resource"))
+    w = staged(windows(spark, d, sparse=None).withColumn("resource", F.expr(
+        "if(resource in ('1-view', '3-view'), concat('once-', resource), resource)")))
     return w, hol, vac, sys
 
 
-part("vac", """select resource, min(cast("timestamp" as date)) as "date" from {buys} group by 1""")
-part("cwin", "select * from {wina} where resource not in ('1', '3')")
+part("vac", """select resource, min(cast("timestamp" as date)) as "date" from {seen} group by 1""")
+part("cwin", """select * replace (case when resource in ('1-view', '3-view') then 'once-' || resource
+    else resource end as resource) from {wina}""")
 
 
 @query("R12_on_duty", f"""select resource, event_order, case when resource not in (select resource from
-    {{cwin}}) then resource in ('1', '2') else coalesce(open_h <= h and h <= close_h, false) and
+    {{cwin}}) then resource in ('1-view', '2-view') else coalesce(open_h <= h and h <= close_h, false) and
     day not in {HOLS} and (resource, day) not in (select resource, "date" from {{vac}}) and
     {roster('resource', 'day', 'p_work')} end as on_duty from (select resource, event_order,
-    cast("timestamp" as date) as day, cast(isodow("timestamp") - 1 as int) as dow, {HT} as h from {{buys}})
+    cast("timestamp" as date) as day, cast(isodow("timestamp") - 1 as int) as dow, {HT} as h from {{seen}})
     left join {{cwin}} using (resource, dow)""")
 def r12(spark, d):
     w, hol, vac, sys = small_calendar(spark, d)
-    out = cal.on_duty(purchase_log(spark, d), w, hol, vac, sys, seed=7)
+    out = cal.on_duty(presence_log(spark, d), w, hol, vac, sys, seed=7)
     return out.select("resource", "event_order", "on_duty")
 
 
@@ -241,16 +244,16 @@ part("avail", f"""select * from (select resource, greatest(a, {S0}) as avail_sta
     to_microseconds(cast(round(open_h * 3600000000) as bigint)) else cast(day as timestamp) end as a,
     case when fit then day + to_microseconds(cast(round(close_h * 3600000000) as bigint)) else
     day + interval 1 day end as b from (select r.resource, x::date as day, open_h, close_h, p_work,
-    r.resource in (select resource from {{cwin}}) as fit from (select distinct resource from {{buys}}) r
+    r.resource in (select resource from {{cwin}}) as fit from (select distinct resource from {{seen}}) r
     cross join (select unnest(generate_series(date '2024-01-04', date '2024-01-18', interval 1 day)) as x)
     left join {{cwin}} w on w.resource = r.resource and w.dow = isodow(x) - 1) where
-    (not fit and resource in ('1', '2')) or (fit and open_h is not null and day not in {HOLS} and
+    (not fit and resource in ('1-view', '2-view')) or (fit and open_h is not null and day not in {HOLS} and
     (resource, day) not in (select resource, "date" from {{vac}}) and {roster('resource', 'day', 'p_work')})))
     where avail_end > avail_start""")
 
 
 def horizon(spark, d):
-    log = purchase_log(spark, d)
+    log = presence_log(spark, d)
     return cal.availability(log, *small_calendar(spark, d), "2024-01-04 10:00:00", 14, seed=7)
 
 
@@ -262,10 +265,10 @@ def r13(spark, d):
 
 
 @query("R14_availability_seconds", f"""select resource, round(coalesce(sum({secs('avail_start',
-    'avail_end')}), 0), 3) as seconds from (select distinct resource from {{buys}}) left join {{avail}}
+    'avail_end')}), 0), 3) as seconds from (select distinct resource from {{seen}}) left join {{avail}}
     using (resource) group by 1""")
 def r14(spark, d):
-    return rounded(cal.availability_seconds(purchase_log(spark, d), horizon(spark, d)), 3)
+    return rounded(cal.availability_seconds(presence_log(spark, d), horizon(spark, d)), 3)
 
 
 @query("R15_dst_probe", """with r as (select 'UTC' as read_as, ts as t from shifted union all
@@ -273,13 +276,13 @@ def r14(spark, d):
     quantile_cont(h, 0.05) filter (m in (11, 12, 1, 2)) as winter, quantile_cont(h, 0.05) filter
     (m in (5, 6, 7, 8)) as summer from (select read_as, month(t) as m, hour(t) + minute(t) / 60.0::double
     as h from r) group by 1), shifted as (select "timestamp" + to_days(cast(event_order % 365 as int)) as ts
-    from {buys}) select read_as, round(winter, 6) as winter, round(summer, 6) as summer,
+    from {seen}) select read_as, round(winter, 6) as winter, round(summer, 6) as summer,
     round(abs(winter - summer), 6) as shift from q""".replace(
         "with r as", "with shifted as (select \"timestamp\" + to_days(cast(event_order % 365 as int)) as ts "
-        "from {buys}), r as").replace(""", shifted as (select "timestamp" + to_days(cast(event_order % 365 as int)) as ts
-    from {buys}) select""", " select"))
+        "from {seen}), r as").replace(""", shifted as (select "timestamp" + to_days(cast(event_order % 365 as int)) as ts
+    from {seen}) select""", " select"))
 def r15(spark, d):
-    log = purchase_log(spark, d).withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(
+    log = presence_log(spark, d).withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(
         days=(F.col("event_order") % 365).cast("int")))       # spread over a year
     return rounded(cal.dst_probe(log))
 

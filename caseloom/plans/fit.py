@@ -168,11 +168,11 @@ def f4(spark, d):
 
 
 part("iat_a", """select date_diff('microsecond', p, t) / 1e6 as gap_s from (select t, lag(t) over
-    (order by t) as p from (select distinct "timestamp" as t from {simple} where activity = 'click'))
+    (order by t) as p from (select distinct "timestamp" as t from {simple} where activity not in ('purchase', 'view')))
     where p is not null""")
 part("iat_b", """select date_diff('microsecond', p, t) / 1e6 as gap_s from (select t, lag(t) over
-    (order by t) as p from (select distinct "timestamp" as t from {simple} where activity = 'view'
-    and value > 10)) where p is not null""")
+    (order by t) as p from (select distinct "timestamp" as t from {simple} where
+    activity in ('purchase', 'view'))) where p is not null""")
 
 
 @query("F6_two_sample_ks", """with u as (select gap_s as v, 1 as a, 0 as b from {iat_a} union all
@@ -186,13 +186,13 @@ part("iat_b", """select date_diff('microsecond', p, t) / 1e6 as gap_s from (sele
     * statistic ** 2)) from range(1, 61) t(k)))), 6) as p_value from s""")
 def f6(spark, d):
     log = simple_log(spark, d)
-    a = log.filter("activity = 'click'").select(F.col("timestamp").alias("arrival"))
-    b = log.filter("activity = 'view' and value > 10").select(F.col("timestamp").alias("arrival"))
+    a = log.filter("activity not in ('purchase', 'view')").select(F.col("timestamp").alias("arrival"))
+    b = log.filter("activity in ('purchase', 'view')").select(F.col("timestamp").alias("arrival"))
     return rounded(fit.two_sample_ks(stats.arrival_gaps(a), stats.arrival_gaps(b), "gap_s"))
 
 
 @query("F7_profile_mae", """with o as (select min("timestamp") as arrival from {simple}
-    where activity <> 'view' group by case_id, cast("timestamp" as date)), q as
+    group by case_id, cast("timestamp" as date), activity = 'view'), q as
     (select p.profile, p.slot, count(o.arrival) / sum(count(o.arrival)) over (partition by p.profile)
     as y from (select distinct profile, slot from {profile}) p left join o on
     (p.profile = 'hod' and hour(arrival) = slot) or (p.profile = 'dow' and isodow(arrival) - 1 = slot)
@@ -201,7 +201,8 @@ def f6(spark, d):
     group by 1""")
 def f7(spark, d):
     a = stats.case_arrivals(day_cases(spark, d))
-    b = stats.case_arrivals(day_cases(spark, d).filter("activity <> 'view'"))
+    b = stats.case_arrivals(day_cases(spark, d).withColumn("case_id", F.concat(
+        "case_id", (F.col("activity") == "view").cast("string"))))
     return rounded(fit.profile_mae(a, b))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import micros, rounded
 from ..operators.shape import restrict_to_cases
 from ..sources import fitted, logs
-from .base import (lifecycle_log, purchase_log, query, scratch, simple_log)
+from .base import (lifecycle_log, presence_log, query, scratch, simple_log)
 
 EPOCH = "epoch_us(\"timestamp\")"
 
@@ -172,11 +172,11 @@ def s11(spark, d):
 @query("S12_load_models", """select resource, cast(isodow(day) - 1 as int) as dow,
     round(min(h), 6) as open_h, round(max(h), 6) as close_h from
     (select resource, cast("timestamp" as date) as day, hour("timestamp")
-     + minute("timestamp") / 60.0 + second("timestamp") / 3600.0 as h from {buys})
+     + minute("timestamp") / 60.0 + second("timestamp") / 3600.0 as h from {seen})
     group by 1, 2""")
 def s12(spark, d):
     from ..functions.columns import fractional_hour, monday_dow
-    log = purchase_log(spark, d)
+    log = presence_log(spark, d)
     win = log.groupBy("resource", monday_dow("timestamp").alias("dow")).agg(
         F.min(fractional_hour("timestamp")).alias("open_h"),
         F.max(fractional_hour("timestamp")).alias("close_h"), F.lit(1.0).alias("p_work"))

@@ -19,13 +19,15 @@ NET = rp.PetriNet.build(
 
 
 def log(spark, d):
-    return chat_log(spark, d).filter(
-        "not (event_order >= 2 and (cast(case_id as int) * 3 + event_order) % 11 = 0)")
+    """The conversations; some later turns are given to the user, as deviations."""
+    return chat_log(spark, d).withColumn("activity", F.expr(
+        "if(event_order >= 2 and (cast(case_id as int) * 3 + event_order) % 11 = 0, 'user', activity)"))
 
 
 part("nlog", """select *, lag(activity) over (partition by case_id order by event_order) as prev,
-    row_number() over (partition by case_id order by event_order) - 1 as position from {chat}
-    where not (event_order >= 2 and (cast(case_id as int) * 3 + event_order) % 11 = 0)""")
+    row_number() over (partition by case_id order by event_order) - 1 as position from
+    (select * replace (case when event_order >= 2 and (cast(case_id as int) * 3 + event_order) % 11 = 0
+    then 'user' else activity end as activity) from {chat})""")
 part("nstep", """select *, case when prev is null then activity in ('system', 'user') when prev = 'user' then
     activity = 'assistant' else activity = 'user' end as legal, case when prev is null then 'system | user'
     when prev = 'user' then 'assistant' else 'user' end as dp_key from {nlog}""")

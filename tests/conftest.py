@@ -22,11 +22,3 @@ def spark(tmp_path_factory):
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
-
-
-@pytest.fixture
-def hot(spark):
-    """Treat any key with more than 5 rows as hot."""
-    spark.conf.set("spark.caseloom.heavyRows", "5")
-    yield spark
-    spark.conf.unset("spark.caseloom.heavyRows")

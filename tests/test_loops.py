@@ -82,34 +82,12 @@ def fifo(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("heavy", [None, "20"])
-def test_item_states_and_fifo_equal_the_loop(spark, heavy):
+def test_item_states_and_fifo_equal_the_loop(spark):
     rows = events(1)
     df = log(spark, rows)
-    if heavy:
-        spark.conf.set("spark.caseloom.heavyRows", heavy)
-    try:
-        assert spark_facts(df) == machine(rows)
-        got = pairing.fifo_pairs(df).select("case_id", "activity", "duration_s").collect()
-        assert sorted(tuple(r) for r in got) == fifo(rows)
-    finally:
-        spark.conf.unset("spark.caseloom.heavyRows")
-
-
-def test_hot_case_changes_no_result(spark):
-    df = log(spark, events(2))
-
-    def results():
-        v = stats.variants(df, top=3).select("rank", "frequency", "trace")
-        b = stats.branching_by_visit(df, min_samples=1)
-        t = lifecycle.training_sessions(df).select("session_order", "duration_s", "case_position")
-        return [sorted(map(tuple, x.collect()), key=str) for x in (v, b, t)]
-    plain = results()
-    spark.conf.set("spark.caseloom.heavyRows", "20")
-    try:
-        assert results() == plain
-    finally:
-        spark.conf.unset("spark.caseloom.heavyRows")
+    assert spark_facts(df) == machine(rows)
+    got = pairing.fifo_pairs(df).select("case_id", "activity", "duration_s").collect()
+    assert sorted(tuple(r) for r in got) == fifo(rows)
 
 
 def test_replay_of_variants_equals_replay_of_every_case(spark):

@@ -1,6 +1,10 @@
+"""The block-wise path against plain windows, and how even its blocks are."""
+
 import random
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from caseloom.functions import ordered as O
 from caseloom.functions.quantiles import quantiles
@@ -17,42 +21,43 @@ def _rows(seed=1):
     return out
 
 
-def steps():
-    return dict(
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_blocks_give_the_rows_of_plain_windows(spark, keys):
+    df = spark.createDataFrame(_rows(), "k string, t long, i long, v long")
+    got = O.along(df, keys, ["t", "i"], dict(
         pos=O.nth(), nxt=O.following("v"), prv=O.preceding("v"), tot=O.total_upto("v"),
         bef=O.total_before("v"), last=O.latest_upto("v"), lastb=O.latest_before("v"),
-        low=O.lowest_upto("v"), high=O.highest_upto("v"))
-
-
-def _sorted(df):
-    return sorted((tuple(r) for r in df.collect()), key=lambda t: t[2])
-
-
-def test_hot_keys_give_the_same_rows(spark):
-    df = spark.createDataFrame(_rows(), "k string, t long, i long, v long")
-    plain = _sorted(O.along(df, ["k"], ["t", "i"], steps()))
-    whole = _sorted(O.along(df, [], ["t", "i"], steps()))
-    spark.conf.set("spark.caseloom.heavyRows", "5")
-    try:
-        assert O.heavy_keys(df, ["k"]).count() == 3
-        assert _sorted(O.along(df, ["k"], ["t", "i"], steps())) == plain
-        assert _sorted(O.along(df, [], ["t", "i"], steps())) == whole
-    finally:
-        spark.conf.unset("spark.caseloom.heavyRows")
-
-
-def test_hot_quantiles_equal_plain(spark):
+        low=O.lowest_upto("v"), lowb=O.lowest_before("v"), high=O.highest_upto("v")))
+    w = Window.partitionBy(*keys).orderBy("t", "i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select(
+        "*", (F.row_number().over(w) - 1).alias("pos"), F.lead("v").over(w).alias("nxt"),
+        F.lag("v").over(w).alias("prv"), F.coalesce(F.sum("v").over(upto), F.lit(0)).alias("tot"),
+        F.coalesce(F.sum("v").over(before), F.lit(0)).alias("bef"),
+        F.last("v", True).over(upto).alias("last"), F.last("v", True).over(before).alias("lastb"),
+        F.min("v").over(upto).alias("low"), F.min("v").over(before).alias("lowb"),
+        F.max("v").over(upto).alias("high"))
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=lambda t: t[2]) == \
+        sorted(map(tuple, want.collect()), key=lambda t: t[2])
+
+
+@pytest.mark.parametrize("name, first", [
+    ("ties", "timestamp'2024-01-01'"),
+    ("outlier", "timestamp'2024-01-01' + make_interval(0, 0, 0, if(id = 7, 9999, 0), 0, 0, id % 3600)"),
+    ("prefixes", "concat('User_', lpad(id, 8, '0'))")])
+def test_no_block_is_twice_the_mean(spark, name, first):
+    df = spark.range(100_000).select(F.lit("c").alias("k"), F.expr(first).alias("t"), "id")
+    sizes = [r["count"] for r in O.in_blocks(df, ["k"], ["t", "id"]).groupBy("__b").count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 100_000 and max(sizes) <= 2 * 25_000
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_quantiles_are_exact(spark, keys):
     df = spark.createDataFrame(_rows(3), "k string, t long, i long, v long") \
-        .filter("k is not null").withColumn("x", F.exp(F.col("t") / 5.0) - 3)
-    probs = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
-
-    def got(keys):
-        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r)
-                      for r in quantiles(df, keys, "x", probs).collect())
-    plain, whole = got(["k"]), got([])
-    spark.conf.set("spark.caseloom.heavyRows", "5")
-    try:
-        assert got(["k"]) == plain
-        assert got([]) == whole
-    finally:
-        spark.conf.unset("spark.caseloom.heavyRows")
+        .withColumn("x", F.exp(F.col("t") / 5.0) - 3)
+    got = quantiles(df, keys, "x", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()
+    want = df.groupBy(*keys).agg(*[F.expr(f"percentile(x, {p})") for p in (0.1, 0.5, 0.99)]).collect()
+    tidy = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r)       # noqa: E731
+                                for r in rows), key=str)
+    assert tidy(got) == tidy(want)
