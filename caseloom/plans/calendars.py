@@ -323,16 +323,16 @@ def r18(spark, d):
     return cal.extra_presence(log).withColumn("date", F.col("date").cast("string"))
 
 
-part("mem", "select resource, cast(cast(resource as int) % 7 as int) as grp from {cnt}")
+part("mem", "select resource, cast(cast(split_part(resource, '-', 1) as int) % 7 as int) as grp from {cnt}")
 
 
 def members(p):
     return p.select("resource").distinct().withColumn(
-        "grp", (F.col("resource").cast("int") % 7).cast("int"))
+        "grp", (F.split_part("resource", F.lit("-"), F.lit(1)).cast("int") % 7).cast("int"))
 
 
 part("tiers", f"""select grp, m.resource, active_days, events, span_days, events / active_days as per_day,
-    case when m.resource in ('1', '2') then 'C' when active_days >= {MIN_DAYS + 3} then 'A' else 'B' end as tier
+    case when m.resource in ('1-view', '2-view') then 'C' when active_days >= {MIN_DAYS + 3} then 'A' else 'B' end as tier
     from {{mem}} m left join (select resource, count(distinct "date") as active_days,
     cast(sum(n_events) as bigint) as events, date_diff('day', min("date"), max("date")) + 1 as span_days
     from {{pres}} group by 1) using (resource)""")
@@ -340,7 +340,7 @@ part("tiers", f"""select grp, m.resource, active_days, events, span_days, events
 
 def tiers(spark, d):
     p = pres(spark, d)
-    sys = spark.range(1).select(F.explode(F.array(F.lit("1"), F.lit("2"))).alias("resource"))
+    sys = spark.range(1).select(F.explode(F.array(F.lit("1-view"), F.lit("2-view"))).alias("resource"))
     return cal.tier_membership(p, members(p), sys, MIN_DAYS + 3)
 
 
