@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.ship import ship
 from ..functions.staging import staged
@@ -138,6 +140,29 @@ def _prime(n: int) -> int:
     return n
 
 
+def _wrap(rows: pa.Table) -> bytes:
+    """Rows as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    with pa.ipc.new_stream(sink, rows.schema, options=options) as w:
+        w.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unwrap(packets: list, schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables([schema.empty_table()] + [
+        pa.ipc.open_stream(p).read_all() for p in packets]).combine_chunks()
+
+
+def _bundle(batches):
+    """Rows of a batch that go to one chunk, as one packet."""
+    for b in by_bytes(batches, "__text", BATCH):
+        t = pa.Table.from_batches([b])
+        rows = [(0, c, len(at), _wrap(t.take(pa.array(at)))) for c, (at,) in
+                _parts(b.column("chunk").to_numpy(), np.arange(b.num_rows))]
+        yield _packets(rows)
+
+
 _PACKET = "bucket int, chunk int, n bigint, data binary"
 _NAMES = ["bucket", "chunk", "n", "data"]
 
@@ -169,7 +194,10 @@ def _probe(buckets: int, chunks: int, block: int):
             ids = np.array(ids, np.int64)
             h, doc, index = np.concatenate(found), np.concatenate(owner), np.concatenate(aligned)
             order = np.argsort(h, kind="stable")
-            h, doc, index = h[order], ids[doc[order]], index[order]
+            h, number, index = h[order], doc[order], index[order]
+            doc = ids[number]
+            table_of_ids = squeeze(ids)
+            table_of_ids = (struct.pack("<II", len(ids), len(table_of_ids)) + table_of_ids)
             e = _edges(h)
             first, size = e[:-1], np.diff(e)
             many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
@@ -182,8 +210,10 @@ def _probe(buckets: int, chunks: int, block: int):
             flags = many.astype(np.uint8) + 2 * any_index.astype(np.uint8)
             hk = h[first]
             for k, (low, d, f) in _parts((hk >> _U(32)) % _U(buckets), hk.astype(np.uint32),
-                                         doc[first], flags):
-                rows.append((k, -1, len(low), squeeze(low, d, f)))
+                                         number[first], flags):
+                up = np.argsort(low, kind="stable")
+                rows.append((k, -1, len(low), table_of_ids + squeeze(
+                    np.diff(low[up], prepend=np.uint32(0)), d[up], f[up])))
             yield _packets(rows)
     return run
 
@@ -196,9 +226,11 @@ def _meet(chunks: int):
             if c >= 0:
                 rows.append((b, c, n, data))
                 continue
-            k, d, f = unsqueeze(data, n, np.uint32, np.int64, np.uint8)
-            low.append(k)
-            doc.append(d)
+            m, size = struct.unpack_from("<II", data)
+            ids, = unsqueeze(data[8:8 + size], m, np.int64)
+            k, d, f = unsqueeze(data[8 + size:], n, np.uint32, np.uint32, np.uint8)
+            low.append(np.cumsum(k, dtype=np.uint32))
+            doc.append(ids[d])
             flag.append(f)
         if low:
             low, doc, flag = map(np.concatenate, (low, doc, flag))
@@ -236,11 +268,13 @@ def _result(kept: str, digest: bool) -> str:
     return hashlib.sha256(kept.encode()).hexdigest() if digest else kept
 
 
-def _extend(buckets: int, window: int, block: int, digest: bool, names: list[str], schema: pa.Schema):
+def _extend(buckets: int, window: int, block: int, digest: bool, names: list[str],
+            inside: pa.Schema, schema: pa.Schema):
     """In a chunk: finish documents without hits; for the others, keys of the windows
     around hits, once per key, and which windows repeat inside the chunk."""
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
         hasher = Hasher()
+        docs = _unwrap(docs.column("data").to_pylist(), inside)
         d, k = [], []
         for n, data in zip(hits.column("n").to_pylist(), hits.column("data").to_pylist()):
             x, y = unsqueeze(data, n, np.int64, np.uint32)
@@ -250,7 +284,7 @@ def _extend(buckets: int, window: int, block: int, digest: bool, names: list[str
         if d:
             by_doc = {i: np.unique(x) for i, (x,) in _parts(np.concatenate(d), np.concatenate(k))}
         total = docs.num_rows
-        n_words, removed, kept = np.zeros(total, np.int64), np.zeros(total, np.int64), [None] * total
+        n_words, kept = np.zeros(total, np.int64), [None] * total
         keys, row, place, owner = [], [], [], []
         ids, texts = docs.column("__id").to_pylist(), docs.column("__text").to_pylist()
         for r, (i, t) in enumerate(zip(ids, texts)):
@@ -266,7 +300,7 @@ def _extend(buckets: int, window: int, block: int, digest: bool, names: list[str
                                   window - block + 1) if len(hit) else at
                 at = np.flatnonzero(around[:len(words) - window + 1])
             if not len(at):
-                kept[r] = _result(" ".join(words), digest)
+                kept[r] = _result(" ".join(words), True) if digest else t or ""
                 continue
             keys.append(hasher.keys(h, window)[at])
             row.append(np.full(len(at), r, np.int64))
@@ -285,25 +319,25 @@ def _extend(buckets: int, window: int, block: int, digest: bool, names: list[str
             one = keys[first]
             for b, (x, y, z) in _parts((one["a"] >> _U(20)) % _U(buckets), one["a"], one["b"], least):
                 packets.append((b, len(x), squeeze(x, y, z)))
-        open_rows = [r for r in range(total) if kept[r] is None]
-        marks = [local.get(r, np.zeros(0, np.int64)).astype(np.uint32).tobytes() for r in open_rows]
         done = [r for r in range(total) if kept[r] is not None]
-        chunk = docs.column("chunk")[0].as_py() if total else 0
-        order = done + open_rows
-        size = total + len(packets)
-        none = [None] * len(packets)
-        cols = {x: pa.concat_arrays([docs.column(x).combine_chunks().take(pa.array(order, pa.int64()))
-                                     if total else pa.array([], schema.field(x).type),
-                                     pa.nulls(len(packets), schema.field(x).type)]) for x in names}
-        cols |= {
-            "kind": [0] * len(done) + [1] * len(open_rows) + [2] * len(packets),
-            "chunk": [chunk] * size,
-            "bucket": [None] * total + [p[0] for p in packets],
-            "n": [None] * total + [p[1] for p in packets],
-            "data": [None] * len(done) + marks + [p[2] for p in packets],
-            "n_words": n_words[order].tolist() + none, "n_removed": removed[order].tolist() + none,
-            "kept": [kept[r] for r in done] + [None] * len(open_rows) + none,
-            "__text": [None] * len(done) + [texts[r] for r in open_rows] + none}
+        rest = [r for r in range(total) if kept[r] is None]
+        if rest:
+            marks = [local.get(r, np.zeros(0, np.int64)).astype(np.uint32).tobytes() for r in rest]
+            held = docs.take(pa.array(rest)).append_column("n_words", pa.array(n_words[rest])) \
+                .append_column("local", pa.array(marks, pa.binary()))
+            packets.append((-1, len(rest), _wrap(held)))
+        chunk = (docs if total else hits).column("chunk")[0].as_py()
+        none, extra = [None] * len(done), len(packets)
+        at = docs.take(pa.array(done, pa.int64()))
+        cols = {x: pa.concat_arrays([at.column(x).combine_chunks(), pa.nulls(extra, schema.field(x).type)])
+                for x in names}
+        cols |= {"kind": [0] * len(done) + [1 if p[0] < 0 else 2 for p in packets],
+                 "chunk": [chunk] * (len(done) + extra),
+                 "bucket": none + [p[0] for p in packets], "n": none + [p[1] for p in packets],
+                 "data": none + [p[2] for p in packets],
+                 "n_words": n_words[done].tolist() + [None] * extra,
+                 "n_removed": [0] * len(done) + [None] * extra,
+                 "kept": [kept[r] for r in done] + [None] * extra}
         return pa.Table.from_arrays([pa.array(cols[f.name], f.type) if isinstance(cols[f.name], list)
                                      else cols[f.name] for f in schema], schema=schema)
     return run
@@ -331,10 +365,11 @@ def _smallest(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_packets(rows)])
 
 
-def _cut(window: int, digest: bool, names: list[str], schema: pa.Schema):
+def _cut(window: int, digest: bool, names: list[str], inside: pa.Schema, schema: pa.Schema):
     """In a chunk: remove the windows that repeat and give the words that stay."""
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         hasher = Hasher()
+        docs = _unwrap(docs.column("data").to_pylist(), inside)
         keys = []
         for n, data in zip(told.column("n").to_pylist(), told.column("data").to_pylist()):
             x, y = unsqueeze(data, n, np.uint64, np.uint32)
@@ -344,7 +379,7 @@ def _cut(window: int, digest: bool, names: list[str], schema: pa.Schema):
         keys = np.concatenate(keys) if keys else np.zeros(0, KEY)
         keys = keys[np.argsort(keys["a"], kind="stable")]
         removed, kept = [], []
-        for t, local in zip(docs.column("__text").to_pylist(), docs.column("data").to_pylist()):
+        for t, local in zip(docs.column("__text").to_pylist(), docs.column("local").to_pylist()):
             words = _WORDS.findall(t)
             own = hasher.keys(hasher.words(words), window)
             at = np.searchsorted(keys["a"], own["a"])
@@ -360,7 +395,7 @@ def _cut(window: int, digest: bool, names: list[str], schema: pa.Schema):
             starts = np.union1d(np.flatnonzero(same), np.frombuffer(local, np.uint32).astype(np.int64))
             n, text = _finish(words, starts.astype(np.int64), window)
             removed.append(n)
-            kept.append(_result(text, digest))
+            kept.append(_result(text, digest) if digest or n else t)
         return pa.Table.from_arrays(
             [docs.column(x) for x in names] + [docs.column("n_words"), pa.array(removed, pa.int64()),
                                                pa.array(kept, pa.string())], schema=schema)
@@ -373,8 +408,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A word goes if a window of ``window`` words that covers it also starts in a document
     with a smaller id. Words are maximal runs of anything but space, tab, line feed,
-    vertical tab, form feed and carriage return, compared as they are. ``kept`` is the words
-    that stay, joined by one space, or with ``digest`` the SHA-256 of that in hex.
+    vertical tab, form feed and carriage return, compared as they are. ``kept`` is the text
+    as it was if nothing goes from it, else the words that stay, joined by one space. With
+    ``digest`` it is the SHA-256, in hex, of the words that stay, joined by one space.
 
     Null and empty texts have no words. Rows with a null id take no part: nothing is
     removed from them or because of them. Rows that share an id do not count as repeats
@@ -397,17 +433,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = [T.StructField(i, docs.schema[c].dataType) for c, i in zip(names, inner)]
     mid = T.StructType(own + T.StructType.fromDDL(
         "kind int, chunk int, bucket int, n bigint, data binary, n_words bigint, "
-        "n_removed bigint, kept string, __text string").fields)
+        "n_removed bigint, kept string").fields)
     out = T.StructType(own + T.StructType.fromDDL(
         "n_words bigint, n_removed bigint, kept string").fields)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    first = staged(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(
-        _extend(buckets, window, block, digest, inner, to_arrow_schema(mid)), mid))
+    inside = to_arrow_schema(rows.schema)
+    held = inside.append(pa.field("n_words", pa.int64())).append(pa.field("local", pa.binary()))
+    first = staged(arrow_map(rows, _bundle, _PACKET).groupBy("chunk")
+                   .cogroup(hits.groupBy("chunk")).applyInArrow(
+        _extend(buckets, window, block, digest, inner, inside, to_arrow_schema(mid)), mid))
     told = (first.filter("kind = 2").select("bucket", "chunk", "n", "data")
             .groupBy("bucket").applyInArrow(_smallest, _PACKET))
-    rest = (first.filter("kind = 1").select(*inner, "chunk", "data", "n_words", "__text")
-            .groupBy("chunk").cogroup(told.groupBy("chunk"))
-            .applyInArrow(_cut(window, digest, inner, to_arrow_schema(out)), out))
+    rest = (first.filter("kind = 1").select("chunk", "data").groupBy("chunk")
+            .cogroup(told.groupBy("chunk"))
+            .applyInArrow(_cut(window, digest, inner, held, to_arrow_schema(out)), out))
     done = first.filter("kind = 0").select(*inner, "n_words", "n_removed", "kept")
     return done.unionByName(rest).select(
         *[F.col(i).alias(c) for c, i in zip(names, inner)], "n_words", "n_removed", "kept")
