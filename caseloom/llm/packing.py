@@ -21,7 +21,6 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +30,13 @@ from pyspark.sql import Window
 
 from ..functions.staging import staged
 from .base import query, table
-from .bpe import segments
+from .bpe import pretokens, segments
 from .texts import Memo, arrow_map, by_bytes
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 2048
 END = 1                 # the id behind each document
-MEMO = 300_000
+MEMO = 600_000
 LONGEST_KEPT = 64
 
 
@@ -60,13 +59,12 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") \
             if self.special else None
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.memo = Memo(MEMO)
 
     def _plain(self, text: str, ids: array):
         memo = self.memo
         for part in segments(text):
-            pieces = self.split(part)
+            pieces = pretokens(part)
             try:
                 ids.extend(list(chain.from_iterable(map(memo.__getitem__, pieces))))
                 continue

@@ -34,8 +34,8 @@ from .base import WORD, partitions, query, table
 from .texts import arrow_map, by_bytes
 
 WINDOW = 50
-BATCH = 8 << 20         # bytes of text hashed together
-CHUNK = 8 << 20         # bytes of text of the documents that come together, about
+BATCH = 6 << 20         # bytes of text hashed together
+CHUNK = 6 << 20         # bytes of text of the documents that come together, about
 BUCKET = 16 << 20       # bytes of text whose probes come together, about
 MEMO = 300_000
 

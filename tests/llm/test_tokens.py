@@ -92,3 +92,11 @@ def test_digest_columns(spark, tmp_path):
     ids = reference().encode_ordinary("one two")
     assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
     assert r.decoded_sha256 == hashlib.sha256(b"one two").hexdigest() and r.n_tokens == len(ids)
+
+
+def test_both_pattern_matchers_agree():
+    r = random.Random(9)
+    chars = [chr(c) for c in range(0x2030) if not bpe._RARE.match(chr(c))] + ["€"]
+    for _ in range(3000):
+        t = "".join(r.choices(chars, k=40)) + "".join(r.choices(" \n'ste1a.é", k=40))
+        assert bpe._COMMON.findall(t) == bpe._ANY.findall(t), repr(t)
