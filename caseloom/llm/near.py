@@ -189,7 +189,7 @@ def _sketch(keep: int, names: list[str], schema: pa.Schema):
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(k) for k in range(keep)]
-                + [b.column("__id"), pa.array(cls, pa.binary()), pa.array(size, pa.int64()),
+                + [b.column("__id"), b.column("__h"), pa.array(cls, pa.binary()), pa.array(size, pa.int64()),
                    pa.array(sig, pa.binary())], schema=schema)
     return run
 
@@ -221,20 +221,24 @@ def _gather(t: pa.Table) -> pa.Table:
     limits = [0, *new.tolist(), len(cls)] if cls else []
     hub = {}
     for s, e in zip(limits[:-1], limits[1:]):
-        rest = np.arange(s, e)
+        rest, group = np.arange(s, e), np.arange(s, e)
         while len(rest):
             head = rest[0]
-            if blk[head] >= 0:      # a split bucket: its leaders are tied to each other
-                first = hub.setdefault(int(key[head]), cls[head])
-                a.append(cls[head])
-                b.append(first)
             alike = (sig[rest] == sig[head]).mean(1)
-            for x in rest[alike >= LOOSE].tolist():
-                a.append(cls[x])
-                b.append(cls[head])
+            # tied members become one group, so that a member leaves one edge at most
+            tied = np.unique(group[rest[alike >= LOOSE] - s])
+            if len(tied) > 1:
+                group[np.isin(group, tied)] = tied[0]
             # a member as close as a link is led; one less close also looks for others
             rest = rest[alike < float(Fraction(THRESHOLD))]
             rest = rest[rest != head]
+        for x, root in zip(range(s, e), group.tolist()):
+            if x != root:
+                a.append(cls[x])
+                b.append(cls[root])
+            elif blk[x] >= 0:       # a split bucket: its groups are tied to each other
+                a.append(cls[x])
+                b.append(hub.setdefault(int(key[x]), cls[x]))
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
@@ -321,13 +325,15 @@ def similarity_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     inner = [f"__c{i}" for i in range(len(keep))]
     own = [T.StructField(i, docs.schema[c].dataType) for c, i in zip(keep, inner)]
     schema = T.StructType(own + T.StructType.fromDDL(
-        "__id bigint, cls binary, size bigint, sig binary").fields)
+        "__id bigint, __h bigint, cls binary, size bigint, sig binary").fields)
     from pyspark.sql.pandas.types import to_arrow_schema
     rows = docs.select(*[F.col(c).alias(i) for c, i in zip(keep, inner)],
-                       F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
+                       F.col(doc_id).cast("long").alias("__id"), F.xxhash64(text).alias("__h"),
+                       F.col(text).alias("__text"))
     rows = staged(arrow_map(rows, _sketch(len(keep), inner, to_arrow_schema(schema)), schema))
     classes = staged(rows.filter("cls is not null").groupBy("cls").agg(
-        F.min("__id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
+        F.min("__id").alias("rep"), F.min(F.struct(F.col("__id").isNull(), "__id", "__h")).alias("at"),
+        F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
     bands = staged(arrow_map(classes.select("cls", "sig"), _bands, "key long, cls binary"))
     met = bands.groupBy("key").agg(
         F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("cls")).alias("f"),
@@ -347,10 +353,12 @@ def similarity_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     cluster = components(edges.union(hot.select("a", "b")))
     size = cluster.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     wanted = (cluster.join(size, "label").withColumnRenamed("node", "cls")
-              .join(classes.select("cls", "rep", "n"), "cls"))
-    found = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
+              .join(classes.select("cls", "n", F.col("at.__id").alias("id"), F.col("at.__h").alias("h")), "cls"))
+    # one row of each class brings its text: by hash, and by id, which may be null
+    found = docs.select(F.col(doc_id).cast("long").alias("fid"), F.xxhash64(text).alias("fh"),
+                        F.col(text).alias("text"))
     compared = arrow_map(
-        found.join(wanted, found.rep.eqNullSafe(wanted.rep)).select("cls", "label", "n", "blocks", "text"),
+        found.join(wanted, (F.col("fh") == F.col("h")) & F.col("fid").eqNullSafe(F.col("id"))).select("cls", "label", "n", "blocks", "text"),
         _sets, "cls binary, label binary, n bigint, blocks int, shingles binary, sig binary")
     own_block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     jobs = compared.dropDuplicates(["cls"]).withColumn("own", own_block).withColumn(
