@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from ..functions.columns import has_text, ratio, seconds_between, starts_with_any, total
 from ..functions.ordered import along, preceding
 from ..functions.quantiles import quantiles
+from ..functions.staging import staged
 from .pairing import busy_pieces, clipped_to_window, in_window, paired_instances, with_resource
 from .shape import event_class, ntz, restrict_to_cases, with_prefixes
 
@@ -205,18 +206,18 @@ def report(df: DataFrame, *, arrivals: DataFrame | None = None,
     """
     done = df if completed is None else restrict_to_cases(df, completed)
     events = df if resource_df is None else resource_df
-    s = paired_instances(events)
+    s = staged(paired_instances(events))     # read by most KPIs
     if available is None:
         span = events.agg(seconds_between(F.min("timestamp"), F.max("timestamp"))).scalar()
         available = with_resource(s).select("resource").distinct().withColumn("seconds", span)
-    occ = occupation(s, available, intervals, None, window, subset)
+    occ = staged(occupation(s, available, intervals, None, window, subset))
     pieces = [
         ("cycle_time", cycle_time(done, arrivals, completions)),
         ("occupation", occupation_summary(occ)),
         ("fairness", fairness(occ, weights)),
         ("time_to_first_offer", time_to_milestone(df, first_offer, arrivals)),
         ("time_to_decision", time_to_milestone(df, decision, arrivals)),
-        ("handover", handover(paired_instances(df))),
+        ("handover", handover(s if resource_df is None else paired_instances(df))),
         ("switches", activity_switches(s, window=window)),
         ("balance", workload_balance(s, subset=subset, window=window)),
         ("cases", df.agg(F.countDistinct("case_id").alias("in_log")).withColumn(

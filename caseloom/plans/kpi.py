@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.staging import staged
 from ..operators import kpi, pairing
 from ..operators.shape import restrict_to_cases
 from ..operators.stats import case_arrivals
@@ -179,17 +180,57 @@ part("dhand", """select resource, lag(resource) over (partition by case_id order
     union all select 'cases.in_log', count(distinct case_id) from {lc}
     union all select 'cases.completed', count(*) from {done}""")
 def k10(spark, d):
-    log = item_log(spark, d)
-    done = log.filter("lifecycle = 'complete' and activity = 'O_click'").select("case_id").distinct()
-    a = available(spark, d)
-    r = kpi.report(log, available=a, intervals=hull(spark, d), completed=done, window=(W0, W1),
-                   subset=a, decision=["O_click", "O_purchase"])
     keep = ["cycle_time.avg_cycle_time_s", "cycle_time.n_cases", "cycle_time.p95_cycle_time_s",
             "occupation.avg_resource_occupation", "occupation.n_resources_evaluated",
             "occupation.n_resources_zero_availability", "handover.handover_rate",
             "handover.n_consecutive_steps", "time_to_decision.mean_s", "balance.mean_window_std",
             "cases.in_log", "cases.completed"]
-    return rounded(r.filter(F.col("metric").isin(keep)), 3)
+    return k10_all(spark, d).filter(F.col("metric").isin(keep))
+
+
+# every metric of the report and its SQL; K10_report shows the rows its older SQL has
+STEPS = {"mean_s": "avg(s)", "p95_s": "quantile_cont(s, 0.95)", "n_cases_reaching_it": "count(*)",
+         "n_cases_total": "(select count(distinct case_id) from {lc}) + 0 * count(*)"}
+METRICS = [
+    ("cycle_time", "{dcyc}", {"avg_cycle_time_s": "avg(s)", "p95_cycle_time_s": "quantile_cont(s, 0.95)",
+                              "n_cases": "count(*)"}),
+    ("occupation", "{occr}", {
+        "avg_resource_occupation": "avg(occupation)",
+        "busy_seconds_outside_availability": "coalesce(sum(overtime_s), 0)",
+        "n_resources_evaluated": "count(occupation)",
+        "n_resources_zero_availability": "count(*) filter (available_s <= 0)"}),
+    ("fairness", "{fair}", {
+        "resource_fairness": "avg(abs(o - (select avg(o) from {fair})))",
+        "weighted_resource_fairness":
+            "sum(abs(o - (select sum(o * w) / sum(w) from {fair})) * w) / sum(w)"}),
+    ("time_to_first_offer", "{clicked}", STEPS),
+    ("time_to_decision", "{mile}", STEPS),
+    ("handover", "{dhand} where p is not null", {
+        "handover_rate": "avg(case when p <> resource then 1.0 else 0.0 end)",
+        "n_consecutive_steps": "count(*)"}),
+    ("switches", "{swit} where p is not null", {
+        "activity_switch_rate": "avg(case when p <> activity then 1.0 else 0.0 end)",
+        "n_resource_transitions": "count(*)", "n_activity_switches": "count(*) filter (p <> activity)"}),
+    ("balance", "{bal}", {"mean_window_std": "avg(sd)", "max_window_std": "max(sd)",
+                          "n_windows": "count(*)"}),
+    ("cases", "{lc}", {"in_log": "count(distinct case_id)",
+                       "completed": "count(distinct case_id) filter (case_id in (select case_id from {done}))"})]
+part("clicked", f"""select case_id, {secs('a', 'hit')} as s from (select case_id, min("timestamp") as a,
+    min("timestamp") filter (activity = 'O_click' and lifecycle = 'complete') as hit
+    from {{lc}} group by 1) where hit is not null""")
+
+
+@query("K10_full_report", " union all ".join(
+    f"select '{name}.{c}' as metric, round(cast({e} as double), 3) as value from {rows}"
+    for name, rows, cells in METRICS for c, e in cells.items()))
+def k10_all(spark, d):
+    log = staged(item_log(spark, d))
+    done = log.filter("lifecycle = 'complete' and activity = 'O_click'").select("case_id").distinct()
+    a, h = staged(available(spark, d)), staged(hull(spark, d))
+    return rounded(kpi.report(
+        log, available=a, intervals=h, weights=a.withColumnRenamed("seconds", "weight"),
+        completed=done, window=(W0, W1), subset=a, first_offer=["O_click"],
+        decision=["O_click", "O_purchase"]), 3)
 
 
 @query("K11_run_guards", """select count(*) filter (lifecycle in ('start', 'resume') and activity[1:2] = 'W_'
