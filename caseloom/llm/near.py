@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.ship import ship
 from ..functions.staging import staged
-from .base import WORD, partitions, query, table
+from .base import WORD, fresh, partitions, query, table
 from .substrings import Hasher, mix
 from .texts import arrow_map, by_bytes
 
@@ -318,9 +318,17 @@ def similarity_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A text of one to four words is one shingle. A null or wordless text has none: it is
     linked to nothing and its class is its own id. Rows repeated under one id are
-    documents of their own.
+    documents of their own. If ``keep`` names a column like one of the three, the new one
+    is called the same with underscores in front.
     """
+    told = _classed(docs, text, doc_id, keep, threshold)
+    return told.select(*told.columns[:-1])
+
+
+def _classed(docs: DataFrame, text: str, doc_id: str, keep: tuple, threshold: str) -> DataFrame:
+    """``similarity_join`` with one more column at the end: what a class is known by."""
     spark = docs.sparkSession
+    names = fresh(docs.select(*keep), "class_id", "n_links", "n_linked_texts", "label")
     ship(spark)
     inner = [f"__c{i}" for i in range(len(keep))]
     own = [T.StructField(i, docs.schema[c].dataType) for c, i in zip(keep, inner)]
@@ -376,24 +384,34 @@ def similarity_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts")))
     least = grouped.groupBy("label").agg(F.min("rep").alias("class_id"))
-    told = grouped.join(least, "label").select("cls", "class_id", "n_links", "n_linked_texts")
+    told = grouped.join(least, "label").select("cls", "class_id", "n_links", "n_linked_texts", "label")
     return rows.join(told, "cls", "left").select(
         *[F.col(i).alias(c) for c, i in zip(keep, inner)],
-        F.when(F.col("cls").isNull(), F.col("__id")).otherwise(F.col("class_id")).alias("class_id"),
-        *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n_links", "n_linked_texts")])
+        F.when(F.col("cls").isNull(), F.col("__id")).otherwise(F.col("class_id")).alias(names[0]),
+        *[F.coalesce(x, F.lit(0)).cast("long").alias(n)
+          for x, n in zip(("n_links", "n_linked_texts"), names[1:])], F.col("label").alias(names[3]))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 threshold: str = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group of linked ones: that of the smallest id.
 
-    Rows without an id stay, and so do wordless texts; of rows that repeat one id and text
-    one stays.
+    If rows of a group repeat that id with different texts, the one whose text has the
+    smallest hash stays. Rows without an id stay, and so do wordless texts; of rows that
+    repeat one id and text one stays. Other columns may have any name.
     """
-    told = similarity_join(docs, text, doc_id, (doc_id,), threshold)
-    gone = (told.filter((F.col(doc_id) != F.col("class_id")) & F.col(doc_id).isNotNull())
-            .select(doc_id).distinct())
-    return docs.join(gone, doc_id, "left_anti").dropDuplicates([doc_id, text])
+    ids, hashes = fresh(docs, "near_id", "near_hash")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"),
+                       F.col(text).alias("text"))
+    told = staged(_classed(rows, "text", "id", ("id", "hash"), threshold)
+                  .filter("label is not null and id is not null").select("id", "hash", "class_id", "label"))
+    # rows of a group under its smallest id: all but one go, too
+    first = told.filter("id = class_id").groupBy("label").agg(F.min("hash").alias("least"))
+    also = told.filter("id = class_id").join(first, "label").filter("hash <> least")
+    gone = told.filter("id <> class_id").select("id", "hash").union(also.select("id", "hash")).distinct() \
+        .select(F.col("id").alias(ids), F.col("hash").alias(hashes))
+    return docs.join(gone, (docs[doc_id].cast("long") == gone[ids]) & (F.xxhash64(docs[text]) == gone[hashes]),
+                     "left_anti").dropDuplicates([doc_id, text])
 
 
 @query("op1_ngram_jaccard_join", r"""

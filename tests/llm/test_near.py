@@ -131,3 +131,30 @@ def test_repeats(spark):
     assert all(x.class_id == "c" for x in got)
     assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got), key=str) == repeats(rows)
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_goes_by_row(spark):
+    """One id with a copied and a unique text, and with two texts alike."""
+    r = random.Random(8)
+    a = [f"w{r.randrange(500)}" for _ in range(80)]
+    near_a = a[:-1] + ["end"]
+    lone, lone2 = ([f"v{r.randrange(500)}" for _ in range(40)] for _ in range(2))
+    lone_near = lone[:-1] + ["end"]
+    rows = [(1, " ".join(a), "x", "y"), (2, " ".join(a), "x", "y"), (2, " ".join(lone2), "x", "y"),
+            (3, " ".join(near_a), "x", "y"), (4, " ".join(lone), "x", "y"), (4, " ".join(lone_near), "x", "y"),
+            (5, " ".join(lone_near), "x", "y"), (None, " ".join(a), "x", "y"), (6, "", "x", "y"),
+            (6, "", "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id string, label string")
+    got = near.one_of_each(df)
+    assert got.columns == df.columns
+    left = [(x.doc_id, x.text) for x in got.collect()]
+    assert len([x for x in left if x[0] == 4]) == 1 and left.count((6, "")) == 1
+    assert sorted(x for x in left if x[0] not in (4, 6, None)) == sorted([(1, " ".join(a)), (2, " ".join(lone2))])
+    assert (None, " ".join(a)) in left and len(left) == 5
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5)], "doc_id long, text string, class_id string, n_links int")
+    got = near.similarity_join(df, keep=("doc_id", "class_id", "n_links"))
+    assert got.columns == ["doc_id", "class_id", "n_links", "_class_id", "_n_links", "n_linked_texts"]
+    assert [tuple(x) for x in got.collect()] == [(1, "x", 5, 1, 0, 0)]

@@ -88,3 +88,16 @@ def test_run_equals_stages(spark, corpus):
     got = corpus_pipeline.run(spark, corpus)
     show = lambda df: sorted(map(tuple, df.select("doc_id", "start", "ids_crc32").collect()))      # noqa: E731
     assert show(got) == show(docs)
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    """Columns called like those a stage adds stay as they are."""
+    extra = ("score", "predicted", "lang_pred", "n_words", "n_removed", "kept", "class_id", "label")
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").selectExpr(
+        "*", *[f"concat('{c}', doc_id) as {c}" for c in extra])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, corpus).persist()
+        assert docs.columns == columns, name
+        assert all(x[c] == f"{c}{x.doc_id}" for x in docs.collect() for c in extra), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, corpus).count()
