@@ -18,19 +18,33 @@ from caseloom.llm import language, near, packing, substrings, toxicity
 SURE = 0.4
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, tuple, str]:
+    """``docs`` under names that no stage uses, those names, and that of the text."""
+    names = tuple(f"column{i}" for i in range(len(docs.columns)))
+    return docs.toDF(*names), names, names[docs.columns.index("text")]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold; the lexicon is learned from the labels."""
+    """Documents below the toxicity threshold; the lexicon is learned from the labels.
+
+    Columns of any name stay as they are.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    rows, names, text = _numbered(docs)
+    scored = toxicity.score(rows, model, text=text, keep=names)
+    return scored.filter("predicted = 0").select(*names).toDF(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter go."""
+    """Documents that have a letter and are told to be in one learned language.
+
+    The score is the posterior among the learned languages. Columns of any name stay.
+    """
     model = language.fit(docs, public_tokenizers.path(language.VOCABULARY))
-    told = language.predict(docs, model, keep=tuple(docs.columns))
+    rows, names, text = _numbered(docs)
+    told = language.predict(rows, model, text=text, keep=names)
     return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)) \
-        .select(*docs.columns)
+        .select(*names).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +53,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; lengths follow."""
-    cut = substrings.remove_repeats(docs).withColumn("text", F.col("kept"))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(
-        F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Texts without the passages that an earlier document has; lengths follow.
+
+    Other columns of any name stay as they are.
+    """
+    rows, names, text = _numbered(docs)
+    at = dict(zip(docs.columns, names))
+    cut = substrings.remove_repeats(rows, text, at["doc_id"])
+    length = F.when(F.col("n_removed") == 0, F.col(at["n_chars"])).otherwise(
+        F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    now = {"text": F.col("kept"), "n_chars": length}
+    return cut.select(*[now.get(c, F.col(n)).alias(c) for c, n in at.items()])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
