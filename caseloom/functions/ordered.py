@@ -1,16 +1,18 @@
 """Ordered computations that survive a hot key.
 
 ``along`` adds lead/lag, row numbers and running values over ``keys`` ordered by
-``order``. There is one path for every size. The rows are cut into as many blocks as a
-shuffle has partitions, by a range split on keys *and* the whole order, tie-breaker
-included, so a burst, a tie or an outlier fills no block. The split is written once, and
-with it each row's block; the same window then runs inside (keys, block), each block is
-summarised to one row, a window over the small summary gives every block what it must
-carry in, and the two are joined.
+``order``: a plain window, which Catalyst shuffles and sorts once for all steps over the
+same keys and order. Keys with more rows than their share of a partition (``crowded``:
+there can be no more of them than partitions) are cut instead: their rows are range-split
+on keys *and* the whole order, tie-breaker included, so a burst, a tie or an outlier fills
+no block; the window runs inside (keys, block), and one summary row per block carries
+values across. A block has at most the keys that begin in it and one that goes on, so
+the summary has at most two rows a block and is broadcast.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,6 +24,10 @@ from .columns import col
 from .staging import staged
 
 
+#: Rows that one task orders without being cut, at least.
+LEAST = 1 << 14
+
+
 @dataclass(frozen=True)
 class Step:
     kind: str
@@ -79,35 +85,89 @@ def highest_upto(c) -> Step:
     return Step("highest", col(c))
 
 
-def in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def in_blocks(df: DataFrame, keys: list[str], order: list[str],
+              blocks: int | None = None) -> DataFrame:
     """``df`` with ``__b``, the block of a range split on keys and order, written once."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return staged(df.repartitionByRange(n, *keys, *order)
                   .withColumn("__b", F.spark_partition_id()))
 
 
+_WORK = re.compile(r"^[\s:+-]*(Join|Aggregate|Window|Repartition|RebalancePartitions|Distinct|Sort|"
+                   r"Map\w+|FlatMap\w+|ArrowEvalPython)\b", re.M)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` if it is read, filtered and projected only; else written once and read back."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return staged(df) if _WORK.search(plan) else df
+
+
+def crowded(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int] | None:
+    """The keys with over twice a partition's mean share of the rows, and how many blocks
+    they are cut into; None if there are none.
+
+    A key that is not among the ``n`` largest has at most 1/n of the rows, so no more
+    than ``n``, the number of shuffle partitions, have to be looked at.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 2 * LEAST)
+    large = counts.orderBy(F.col("__n").desc()).limit(n).collect()
+    if not large:
+        return None
+    block = max(LEAST, df.count() // n)
+    large = [r for r in large if r["__n"] > 2 * block]
+    if not large:
+        return None
+    blocks = min(n, -(-sum(r["__n"] for r in large) // block))
+    return spark.createDataFrame([tuple(r) for r in large], counts.schema).drop("__n"), blocks
+
+
 def along(df: DataFrame, keys: list[str], order: list[str],
           steps: dict[str, Step]) -> DataFrame:
     """Add one column per step, computed over ``keys`` in ``order``.
 
     ``order`` must break all ties.
     """
-    columns = df.columns
-    vals = {n: f"__v{i}" for i, n in enumerate(steps)}
-    df = in_blocks(df.select("*", *[s.value.alias(vals[n]) for n, s in steps.items()
-                                    if s.value is not None]), keys, order)
-    return _carried(df, columns, vals, keys, order, steps)
+    df = settled(df)
+    return _along(df, keys, order, steps, crowded(df, keys))
 
 
 def by_part(df: DataFrame, keys: list[str], body) -> DataFrame:
     """Run a computation of several ordered passes over the same keys.
 
-    ``body(rows, run)`` calls ``run(rows, steps, order)`` for each pass.
+    ``body(rows, run)`` calls ``run(rows, steps, order)`` for each pass. Crowded keys are
+    looked for once.
     """
-    return body(df, lambda d, order, steps: along(d, keys, order, steps))
+    df = settled(df)
+    hot = crowded(df, keys)
+    return body(df, lambda d, order, steps: _along(d, keys, order, steps, hot))
 
 
-def _window_value(step: Step, w, frame) -> Column:
+def _along(df, keys, order, steps, hot):
+    columns = df.columns
+    vals = {n: f"__v{i}" for i, n in enumerate(steps)}
+
+    def valued(d):
+        return d.select("*", *[s.value.alias(vals[n]) for n, s in steps.items() if s.value is not None])
+    if hot is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return valued(df).select(*columns, *[
+            _window_value(Step(s.kind, F.col(vals[n]) if s.value is not None else None, s.before), w)
+            .alias(n) for n, s in steps.items()])
+    large, blocks = hot
+    df = settled(df)
+    if not keys:
+        return _carried(in_blocks(valued(df), keys, order, blocks), columns, vals, keys, order, steps)
+    large = F.broadcast(large.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(keys)])
+    cut = in_blocks(valued(df.join(large, same, "left_semi")), keys, order, blocks)
+    return _along(df.join(large, same, "left_anti"), keys, order, steps, None).unionByName(
+        _carried(cut, columns, vals, keys, order, steps))
+
+
+def _window_value(step: Step, w) -> Column:
     if step.kind == "nth":
         return F.row_number().over(w).cast("bigint") - F.lit(1)
     if step.kind == "following":
@@ -129,7 +189,7 @@ def _carried(df, columns, vals, keys, order, steps):
     inner = df.select(
         "*", (F.row_number().over(w).cast("bigint") - F.lit(1)).alias("__rn"),
         *[_window_value(Step(s.kind, F.col(vals[n]) if s.value is not None else None,
-                             s.before), w, None).alias(f"__l_{n}")
+                             s.before), w).alias(f"__l_{n}")
           for n, s in steps.items()])
 
     at = F.struct(*[F.col(o) for o in order])
@@ -169,7 +229,7 @@ def _carried(df, columns, vals, keys, order, steps):
     cond = F.col("__b") == F.col("__kb")
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    j = inner.join(summary, cond)
+    j = inner.join(F.broadcast(summary), cond)      # a row or two per block
     out = []
     for n, s in steps.items():
         local, c = F.col(f"__l_{n}"), F.col(f"__c_{n}")

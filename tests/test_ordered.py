@@ -21,8 +21,10 @@ def _rows(seed=1):
     return out
 
 
+@pytest.mark.parametrize("least", [O.LEAST, 16])
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_blocks_give_the_rows_of_plain_windows(spark, keys):
+def test_blocks_give_the_rows_of_plain_windows(spark, keys, least, monkeypatch):
+    monkeypatch.setattr(O, "LEAST", least)
     df = spark.createDataFrame(_rows(), "k string, t long, i long, v long")
     got = O.along(df, keys, ["t", "i"], dict(
         pos=O.nth(), nxt=O.following("v"), prv=O.preceding("v"), tot=O.total_upto("v"),
@@ -61,3 +63,20 @@ def test_quantiles_are_exact(spark, keys):
     tidy = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r)       # noqa: E731
                                 for r in rows), key=str)
     assert tidy(got) == tidy(want)
+
+
+def test_only_crowded_keys_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(O, "LEAST", 16)
+    df = spark.createDataFrame(_rows(), "k string, t long, i long, v long")
+    large, blocks = O.crowded(df, ["k"])
+    assert [r.k for r in large.collect()] == ["a"] and blocks == 3      # 300 of 405 rows, 4 partitions
+    assert O.crowded(df.filter("k <> 'a' or t < 3"), ["k"]) is None or \
+        {r.k for r in O.crowded(df.filter("k <> 'a' or t < 3"), ["k"])[0].collect()} == {"d"}
+    assert O.crowded(df.limit(0), ["k"]) is None and O.crowded(df.limit(0), []) is None
+
+
+def test_passes_over_one_order_share_one_shuffle(spark):
+    df = spark.createDataFrame(_rows(), "k string, t long, i long, v long")
+    out = O.by_part(df, ["k"], lambda d, run: run(
+        run(d, ["t", "i"], {"p": O.nth()}), ["t", "i"], {"q": O.latest_before("p")}))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
