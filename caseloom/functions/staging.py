@@ -61,6 +61,24 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Kept:
+    """A table that is written again and again: each version replaces the last one."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, None
+        self.write(df)
+
+    def write(self, df: DataFrame):
+        old, path = self.path, scratch(self.spark)
+        df.write.parquet(path)
+        self.df, self.path = self.spark.read.schema(df.schema).parquet(path), path
+        if old:
+            _remove(self.spark, old)
+
+    def drop(self):
+        _remove(self.spark, self.path)
+
+
 def size_bound(df: DataFrame) -> float:
     """The optimizer's estimate of the table's size in bytes, infinite if unknown."""
     try:
