@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import START, UNKNOWN, ratio, total
 from ..functions.ordered import along, nth, total_before
 from ..functions.quantiles import quantiles
+from . import boosting
 from .shape import encode, label_dictionary
 
 # The feature contract of the duration model, in order.
@@ -51,28 +51,40 @@ def feature_matrix(df: DataFrame, columns: Sequence[str] = FEATURES) -> DataFram
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
 
 
-def train_duration(df: DataFrame, trees: int = TREES, depth: int = DEPTH,
-                   seed: int = 42) -> tuple[GBTRegressionModel, dict[str, DataFrame], DataFrame]:
-    """(model, encoders, rows with ``is_train``, ``y`` and ``prediction``).
+def duration_rows(df: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(encoders, rows with ``is_train``, ``y`` and the encoded features).
 
-    Target log1p(duration_s); the oldest 80 % train. Every column of the feature
-    contract must be there, with ``timestamp`` and a tie-breaking ``row_key``.
+    ``y`` is log1p(duration_s); the oldest 80 % train. Every column of the feature contract
+    must be there, with ``timestamp`` and a tie-breaking ``row_key``.
     """
     enc = encoders(df)
     rows = temporal_split(df.withColumn("y", F.log1p("duration_s")), ["timestamp", "row_key"])
-    rows = feature_matrix(encoded(rows, enc))
-    gbt = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth,
-                       stepSize=RATE, subsamplingRate=SUBSAMPLE, minInstancesPerNode=LEAF,
-                       seed=seed)
-    model = gbt.fit(rows.filter("is_train"))
-    return model, enc, model.transform(rows)
+    return enc, encoded(rows, enc)
 
 
-def feature_importances(model, spark, columns: Sequence[str] = FEATURES) -> DataFrame:
-    """feature, importance (one row per feature)."""
-    return spark.createDataFrame(
-        list(zip(columns, [float(x) for x in model.featureImportances.toArray()])),
-        "feature string, importance double")
+def train_duration(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> boosting.Boosted:
+    """Boosted trees for the mean of ``y``, learned from the training rows of ``duration_rows``."""
+    return boosting.fit(rows.filter("is_train"), FEATURES, "y", "row_key", trees, depth, RATE, SUBSAMPLE,
+                        LEAF, seed=seed)
+
+
+def train_quantiles(rows: DataFrame, levels: Sequence[float] = LEVELS, trees: int = TREES,
+                    depth: int = DEPTH, seed: int = 42) -> boosting.Boosted:
+    """Boosted trees for the quantiles of ``y``, all levels on shared splits."""
+    return boosting.fit(rows.filter("is_train"), FEATURES, "y", "row_key", trees, depth, RATE, SUBSAMPLE,
+                        LEAF, levels, seed=seed)
+
+
+def with_learned_curve(df: DataFrame, model: boosting.Boosted) -> DataFrame:
+    """Add ``levels`` and ``values``, the non-decreasing quantile curve of each row."""
+    return boosting.predict(df, model, "values").withColumn(
+        "levels", F.array(*[F.lit(float(q)) for q in model.levels]))
+
+
+def feature_importances(model: boosting.Boosted, spark) -> DataFrame:
+    """feature, importance (one row per feature): shares of the whole gain."""
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(model.features, model.importances())],
+                                 "feature string, importance double")
 
 
 def regression_metrics(df: DataFrame, y: str = "y", prediction: str = "prediction",
@@ -129,7 +141,12 @@ def with_curve(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFram
 
 def quantile_scores(df: DataFrame, table: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
     """One row: mean pinball loss, 90 % and 50 % interval coverage, R2 of the median."""
-    j = with_curve(df, table, keys).withColumn("__y", F.col(y))
+    return curve_scores(with_curve(df, table, keys), y)
+
+
+def curve_scores(df: DataFrame, y: str = "y") -> DataFrame:
+    """The same for rows that have their curve (``levels``, ``values``)."""
+    j = df.withColumn("__y", F.col(y))
     loss = F.aggregate(F.zip_with("levels", "values", lambda a, q: F.when(
         F.col("__y") >= q, a * (F.col("__y") - q)).otherwise((1.0 - a) * (q - F.col("__y")))),
         F.lit(0.0), lambda s, x: s + x) / F.size("levels")
