@@ -37,6 +37,8 @@ def _compare(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         na = np.linalg.norm(a, axis=1, keepdims=True)
         nb = np.linalg.norm(b, axis=1, keepdims=True)
         return (a / np.where(na == 0, 1, na)) @ (b / np.where(nb == 0, 1, nb)).T
+    if metric == "euclidean":
+        return np.stack([np.sqrt(((row - b) ** 2).sum(axis=1)) for row in a])
     return np.stack([0.5 * np.abs(row - b).sum(axis=1) for row in a])
 
 

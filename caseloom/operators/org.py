@@ -12,6 +12,7 @@ contexts times members is built to count candidates.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
@@ -24,6 +25,7 @@ from ..functions.columns import ratio, total
 from ..functions.ordered import along, following
 from ..functions.quantiles import quantiles
 from ..functions.staging import sized, staged
+from . import clusters
 from .shape import order_of
 
 CTX = ["case_type", "activity_type", "time_type"]
@@ -125,6 +127,33 @@ def trace_clusters(df: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     return model.transform(v).select("case_id", F.col("prediction").alias("cluster"))
 
 
+def profile_clusters(df: DataFrame, k: int = 10) -> DataFrame:
+    """case_id, cluster: spherical k-means on the case profiles, each distinct one once.
+
+    Cases with the same activity counts are one vector with a weight, so the work grows
+    with the distinct profiles; the start is deterministic.
+    """
+    v = dense(case_profiles(df), "case_id", "activity", "weight")
+    v = staged(v.withColumn("vec", F.transform("vec", lambda x: F.round(x, 9))))
+    kinds = v.groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("case_id"))
+    told = clusters.spherical(kinds, k, "case_id", "n")
+    of = kinds.select("vec", F.col("case_id").cast("string").alias("k")).join(
+        told.withColumnRenamed("case_id", "k"), "k").drop("k")
+    return v.join(of, "vec").select("case_id", "cluster")
+
+
+def hierarchical_groups(rl: DataFrame, n_groups: int = 10, linkage: str = "complete") -> DataFrame:
+    """grp, resource: disjoint groups by agglomeration of the resource profiles."""
+    v = dense(resource_profiles(rl), "resource", "context", "weight")
+    return clusters.hierarchical(v, n_groups, "resource", linkage)
+
+
+def overlapping_groups(rl: DataFrame, n_groups: int = 10, restarts: int = 3) -> DataFrame:
+    """grp, resource, share: groups in which a resource may appear more than once."""
+    v = dense(resource_profiles(rl), "resource", "context", "weight")
+    return clusters.overlapping(v, n_groups, "resource", restarts)
+
+
 def resource_profiles(rl: DataFrame) -> DataFrame:
     """resource, context, weight = ln(1 + events)."""
     return rl.groupBy("resource", F.concat_ws("|", *CTX).alias("context")).agg(
@@ -166,7 +195,8 @@ def conformance(rl: DataFrame, members: DataFrame, capabilities: DataFrame,
     return _conformance(staged(context_counts(rl)), members, capabilities, by)
 
 
-def _conformance(counts, members, capabilities, by):
+def _conformance(counts, members, capabilities, by, whole=None):
+    """``whole`` (some of ``by``, whole): events to be explained, if not those of ``counts``."""
     caps = capabilities.select(*by, "grp", F.coalesce("ct", F.lit("")).alias("case_type"),
                                F.col("at").alias("activity_type"),
                                F.coalesce("tt", F.lit("")).alias("time_type"))
@@ -189,11 +219,13 @@ def _conformance(counts, members, capabilities, by):
     t = j.groupBy(*by).agg(
         F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("__c"), F.sum("n").alias("__a"),
         F.sum(F.when(ok, F.col("n") * share).otherwise(0.0)).alias("__p"))
-    t = t.withColumns({"fitness": F.coalesce(ratio("__c", total(counts, F.sum("n"))), F.lit(0.0)),
+    t = t.withColumn("whole", total(counts, F.sum("n"))) if whole is None else \
+        t.join(whole, [c for c in whole.columns if c != "whole"])
+    t = t.withColumns({"fitness": F.coalesce(ratio("__c", "whole"), F.lit(0.0)),
                        "precision": F.coalesce(ratio("__p", "__a"), F.lit(0.0))})
     f, p = F.col("fitness"), F.col("precision")
     return t.withColumn("f1", F.coalesce(ratio(2.0 * f * p, f + p), F.lit(0.0))) \
-            .drop("__c", "__a", "__p")
+            .drop("__c", "__a", "__p", "whole")
 
 
 def stake_and_coverage(rl: DataFrame, members: DataFrame) -> DataFrame:
@@ -515,3 +547,57 @@ def best_models(rows: DataFrame, known: Sequence[str] = KNOWN_AT_START) -> DataF
     a = rows.orderBy(*order).limit(1).withColumn("choice", F.lit("best"))
     b = r.filter("ok").drop("ok").orderBy(*order).limit(1).withColumn("choice", F.lit("deployable"))
     return a.unionByName(b)
+
+
+def sweep(logs: dict[str, DataFrame], groups: dict[tuple[str, str], DataFrame],
+          known: Sequence[str] = KNOWN_AT_START) -> DataFrame:
+    """One row per (contexts, discovery, profiling): sizes, conformance and choices.
+
+    ``logs`` holds a resource log per form of contexts, ``groups`` the members (grp,
+    resource) per form and discovery. The counts of all forms are one table with the form
+    as a part of its contexts, so all models, with the 81 thresholds of the overall score,
+    are measured in one plan. Of equal scores the first thresholds win; without any model
+    left the overall score falls back to full recall. ``best`` marks the row of the largest
+    F1, ``deployable`` that among the forms ``known`` when a case starts; ties by name.
+    """
+    counts = reduce(DataFrame.unionByName, [
+        context_counts(rl).withColumn("contexts", F.lit(f)) for f, rl in logs.items()])
+    counts = staged(counts.withColumn("case_type", F.concat_ws(":", "contexts", "case_type")))
+    members = staged(reduce(DataFrame.unionByName, [
+        m.select(F.lit(f).alias("contexts"), F.lit(how).alias("discovery"),
+                 F.concat_ws("/", F.lit(f), F.lit(how), F.col("grp").cast("string")).alias("grp"), "resource")
+        for (f, how), m in groups.items()]).distinct())
+    size = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    whole = counts.groupBy(*CTX).agg(F.sum("n").alias("of"))
+    own = staged(counts.join(members, ["contexts", "resource"]).groupBy("contexts", "discovery", "grp", *CTX).agg(
+        F.sum("n").alias("own"), F.count(F.lit(1)).alias("people")).join(whole, CTX).join(size, "grp"))
+    grid = F.array(*[F.struct(F.lit(w).alias("w1"), F.lit(x).alias("lam")) for w in GRID for x in GRID])
+    score = F.col("w1") * F.col("own") / F.col("of") + (1 - F.col("w1")) * F.col("people") / F.col("size")
+    tried = own.withColumn("g", F.explode(grid)).select("*", "g.*").filter(score >= F.col("lam")) \
+        .withColumn("profiling", F.lit("OverallScore"))
+    every = own.withColumns({"w1": F.lit(0.0), "lam": F.lit(0.0), "profiling": F.lit("FullRecall")})
+    by = ["contexts", "discovery", "profiling", "w1", "lam"]
+    caps = staged(tried.select(*by, "grp", *CTX).unionByName(every.select(*by, "grp", *CTX)))
+    scores = staged(_conformance(
+        counts.drop("contexts"), members, caps.withColumnsRenamed({"case_type": "ct", "activity_type": "at",
+                                                                   "time_type": "tt"}),
+        by, counts.groupBy("contexts").agg(F.sum("n").alias("whole"))))
+    model = ["contexts", "discovery", "profiling"]
+    spare = scores.filter("profiling = 'FullRecall'")
+    spare = spare.join(scores.filter("profiling = 'OverallScore'").select("contexts", "discovery").distinct(),
+                       ["contexts", "discovery"], "left_anti").withColumn("profiling", F.lit("OverallScore"))
+    sizes = caps.groupBy(*by).agg(F.countDistinct("grp").alias("n_groups"))
+    spare_size = sizes.filter("profiling = 'FullRecall'").withColumn("profiling", F.lit("OverallScore"))
+    rows = scores.join(sizes, by).unionByName(spare.join(spare_size, by))
+    best = rows.groupBy(*model).agg(F.min(F.struct(
+        (-F.col("f1")).alias("less"), "w1", "lam", "n_groups", "fitness", "precision", "f1")).alias("m")) \
+        .select(*model, "m.n_groups", "m.fitness", "m.precision", "m.f1", "m.w1", "m.lam")
+    n = counts.select("contexts", *CTX).distinct().groupBy("contexts").agg(F.count(F.lit(1)).alias("n_contexts"))
+    out = staged(best.join(n, "contexts"))
+    name = F.struct((-F.col("f1")).alias("less"), *model)
+    lead = out.agg(F.min(name).alias("a"), F.min(F.when(F.col("contexts").isin(list(known)), name)).alias("b")).first()
+
+    def is_row(m):
+        return reduce(lambda x, y: x & y, [F.col(c) == m[c] for c in model]) if m else F.lit(False)
+    return out.withColumns({"best": is_row(lead.a), "deployable": is_row(lead.b)}).select(
+        *model, "n_contexts", "n_groups", "fitness", "precision", "f1", "w1", "lam", "best", "deployable")

@@ -132,6 +132,12 @@ def o5b(spark, d):
     return c.groupBy("cluster").agg(F.count(F.lit(1)).alias("cases"))
 
 
+@query("O5_profile_clusters")
+def o5c(spark, d):
+    """Cluster of every case by spherical k-means on its profile."""
+    return org.profile_clusters(simple_log(spark, d), k=5)
+
+
 @query("O6_resource_profiles", """select resource, ct || '|' || at || '|' || tt as context,
     round(ln(1 + n), 6) as weight from {cc}""")
 def o6(spark, d):
@@ -144,6 +150,26 @@ def o7(spark, d):
     return g.groupBy("grp").agg(F.count(F.lit(1)).alias("resources"))
 
 
+@query("O7_hierarchical_groups")
+def o7b(spark, d):
+    """Members of groups by agglomeration, complete linkage."""
+    return org.hierarchical_groups(rlog(spark, d), 4)
+
+
+@query("O7_overlapping_groups")
+def o7c(spark, d):
+    """Members of groups that may overlap, with their shares."""
+    return rounded(org.overlapping_groups(rlog(spark, d), 4), 6)
+
+
+@query("O8_overlapping_conformance")
+def o8b(spark, d):
+    """Conformance of the overlapping groups with full recall."""
+    rl = rlog(spark, d)
+    m = staged(org.overlapping_groups(rl, 4))
+    return rounded(org.conformance(rl, m, org.full_recall(rl, m)))
+
+
 def conformance_sql(caps, name):
     part(name + "_cand", f"select distinct ct, at, tt, resource from ({caps}) join {{members}} using (grp)")
     part(name + "_k", f"select ct, at, tt, count(*) as k from {{{name}_cand}} group by 1, 2, 3")
@@ -416,3 +442,16 @@ def o21(spark, d):
     a = org.sweep_row(org.resource_log(el(spark, d), "activity"), m, "activity", "given", "FullRecall")
     b = org.sweep_row(rlog(spark, d), m, "attribute", "given", "FullRecall")
     return rounded(org.best_models(a.unionByName(b), known=["activity"]).drop("n_groups"))
+
+
+@query("O21_full_sweep")
+def o21b(spark, d):
+    """Three forms of contexts, two discoveries, two profilings: twelve models."""
+    log = staged(el(spark, d))
+    logs = {"activity": org.resource_log(log, "activity"),
+            "attribute": org.resource_log(log, "attribute", "goal"),
+            "clusters": org.resource_log(log, "clusters", clusters=staged(org.profile_clusters(log, 10)))}
+    logs = {f: staged(rl) for f, rl in logs.items()}
+    groups = {(f, how): staged(find(rl, 10)) for f, rl in logs.items() for how, find in (
+        ("hierarchical", org.hierarchical_groups), ("overlapping", org.overlapping_groups))}
+    return rounded(org.sweep(logs, groups))
