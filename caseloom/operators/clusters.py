@@ -190,10 +190,11 @@ def spherical(vectors: DataFrame, k: int, key: str, weight: str | None = None, r
     fewer clusters.
     """
     v = _prepared(vectors, key, weight)
-    first = _heaviest(v, 1)
+    turned = v.filter(F.exists("vec", lambda x: x != 0))
+    first = _heaviest(turned, 1)
     if not first:
         return v.select(F.col("key").alias(key), F.lit(0).alias("cluster"))
-    centres = _settle(v, farthest(v, first, k, True), True, rounds)
+    centres = _settle(v, farthest(turned, first, k, True), True, rounds)
 
     def run(batches):
         for keys, x, _w in _batches(batches):

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import finite, ratio
 from ..functions.ordered import along, total_upto
@@ -226,10 +228,40 @@ def expected_duration(pairs: DataFrame, predictions: DataFrame, fits: DataFrame,
         .drop("__p", "__f")
 
 
-def two_sample_ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """One row: Kolmogorov-Smirnov distance of two samples and its asymptotic p-value.
+EXACT = 10_000      # fixed value: samples up to this size get the exact p-value
 
-    Values are counted first; the running counts see one row per distinct value.
+
+def exact_ks_tail(gap: int, m: int, n: int) -> float:
+    """P(D >= gap / (m n)) of two samples of m and n values without ties.
+
+    An order of all values is a lattice path from (0, 0) to (m, n); it counts if it meets
+    a point with ``|i n - j m| >= gap``. The share of such paths among those to (i, j) is
+    i / (i + j) of that at (i - 1, j) and j / (i + j) of that at (i, j - 1), which is
+    worked out one anti-diagonal at a time in O(m) memory.
+    """
+    if gap <= 0:
+        return 1.0
+    row = np.zeros(m + 1)
+    for s in range(1, m + n + 1):
+        i = np.arange(max(0, s - n), min(m, s) + 1)
+        left = np.where(i > 0, row[np.maximum(i - 1, 0)], 0.0)
+        here = (i * left + (s - i) * np.where(s - i > 0, row[i], 0.0)) / s
+        row[i] = np.where(np.abs(i * n - (s - i) * m) >= gap, 1.0, here)
+    return float(row[m])
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_tail(gap, m, n):
+    import pandas as pd
+    return pd.Series([exact_ks_tail(int(g), int(a), int(b)) for g, a, b in zip(gap, m, n)], dtype=float)
+
+
+def two_sample_ks(a: DataFrame, b: DataFrame, value: str, method: str = "auto") -> DataFrame:
+    """One row: Kolmogorov-Smirnov distance of two samples, sizes, p-value and its method.
+
+    ``method`` is exact, asymptotic, or auto: exact if both samples have from 1 to
+    ``EXACT`` values. The exact tail is that of samples without ties. Values are counted
+    first; the running counts see one row per distinct value.
     """
     both = a.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")) \
         .unionByName(b.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("a"),
@@ -241,7 +273,16 @@ def two_sample_ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     out = run.agg(F.max(F.abs(F.col("ca") / na - F.col("cb") / nb)).alias("statistic")) \
         .withColumns({"n_a": na, "n_b": nb})
     size = F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
-    return out.withColumn("p_value", kolmogorov_tail(F.sqrt(size) * F.col("statistic")))
+    far = kolmogorov_tail(F.sqrt(size) * F.col("statistic"))
+    if method == "asymptotic":
+        return out.withColumns({"p_value": far, "method": F.lit(method)})
+    out = staged(out)
+    small = out.filter(F.col("n_a").between(1, EXACT) & F.col("n_b").between(1, EXACT)) \
+        if method == "auto" else out
+    gap = F.round(F.col("statistic") * F.col("n_a") * F.col("n_b")).cast("long")
+    if small.isEmpty():
+        return out.withColumns({"p_value": far, "method": F.lit("asymptotic")})
+    return out.withColumns({"p_value": _exact_tail(gap, "n_a", "n_b"), "method": F.lit("exact")})
 
 
 def profile_mae(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -188,7 +188,37 @@ def f6(spark, d):
     log = simple_log(spark, d)
     a = log.filter("activity not in ('purchase', 'view')").select(F.col("timestamp").alias("arrival"))
     b = log.filter("activity in ('purchase', 'view')").select(F.col("timestamp").alias("arrival"))
-    return rounded(fit.two_sample_ks(stats.arrival_gaps(a), stats.arrival_gaps(b), "gap_s"))
+    return rounded(fit.two_sample_ks(stats.arrival_gaps(a), stats.arrival_gaps(b), "gap_s", "asymptotic")
+                   .drop("method"))
+
+
+@query("F6_exact_ks")
+def f6b(spark, d):
+    """The same two samples; the p-value is exact up to 10,000 values each, see ``method``."""
+    log = simple_log(spark, d)
+    a = log.filter("activity not in ('purchase', 'view')").select(F.col("timestamp").alias("arrival"))
+    b = log.filter("activity in ('purchase', 'view')").select(F.col("timestamp").alias("arrival"))
+    return rounded(fit.two_sample_ks(stats.arrival_gaps(a), stats.arrival_gaps(b), "gap_s"), 12)
+
+
+fit_parts("gapfit", "{gaps}", [], "gap_s")
+fit_parts("waitfit", "{waits}", ["activity"], "wait_s")
+FITTED = """n, distribution, round(shape, 4) as shape, round(scale, 3) as scale, round(mean_s, 3) as mean_s,
+    round(std_s, 3) as std_s"""
+
+
+@query("A3_arrival_fit", f"select {FITTED} from {{gapfit_best}}")
+def a3_fit(spark, d):
+    """The best of five families for the gaps between arrivals."""
+    return shown(fit.best_fit(stats.arrival_gaps(stats.case_arrivals(day_cases(spark, d))), [], "gap_s"))
+
+
+@query("L8_withdraw_wait_fit", f"select activity, {FITTED} from {{waitfit_best}}")
+def l8_fit(spark, d):
+    """The best of five families for the waits before a withdrawal, by activity."""
+    from ..operators import lifecycle
+    from .lifecycle import seg
+    return shown(fit.best_fit(lifecycle.withdraw_waits(seg(spark, d)), ["activity"], "wait_s"))
 
 
 @query("F7_profile_mae", """with o as (select min("timestamp") as arrival from {simple}

@@ -166,29 +166,7 @@ part("dhand", """select resource, lag(resource) over (partition by case_id order
     from {isess}""")
 
 
-@query("K10_report", """select 'cycle_time.avg_cycle_time_s' as metric, round(avg(s), 3) as value from {dcyc}
-    union all select 'cycle_time.n_cases', count(*) from {dcyc}
-    union all select 'cycle_time.p95_cycle_time_s', round(quantile_cont(s, 0.95), 3) from {dcyc}
-    union all select 'occupation.avg_resource_occupation', round(avg(occupation), 3) from {occr}
-    union all select 'occupation.n_resources_evaluated', count(occupation) from {occr}
-    union all select 'occupation.n_resources_zero_availability', 1
-    union all select 'handover.handover_rate', round(avg(case when p <> resource then 1.0 else 0.0 end), 3)
-    from {dhand} where p is not null
-    union all select 'handover.n_consecutive_steps', count(*) from {dhand} where p is not null
-    union all select 'time_to_decision.mean_s', round(avg(s), 3) from {mile}
-    union all select 'balance.mean_window_std', round(avg(sd), 3) from {bal}
-    union all select 'cases.in_log', count(distinct case_id) from {lc}
-    union all select 'cases.completed', count(*) from {done}""")
-def k10(spark, d):
-    keep = ["cycle_time.avg_cycle_time_s", "cycle_time.n_cases", "cycle_time.p95_cycle_time_s",
-            "occupation.avg_resource_occupation", "occupation.n_resources_evaluated",
-            "occupation.n_resources_zero_availability", "handover.handover_rate",
-            "handover.n_consecutive_steps", "time_to_decision.mean_s", "balance.mean_window_std",
-            "cases.in_log", "cases.completed"]
-    return k10_all(spark, d).filter(F.col("metric").isin(keep))
-
-
-# every metric of the report and its SQL; K10_report shows the rows its older SQL has
+# every metric of the report and its SQL
 STEPS = {"mean_s": "avg(s)", "p95_s": "quantile_cont(s, 0.95)", "n_cases_reaching_it": "count(*)",
          "n_cases_total": "(select count(distinct case_id) from {lc}) + 0 * count(*)"}
 METRICS = [
@@ -220,9 +198,13 @@ part("clicked", f"""select case_id, {secs('a', 'hit')} as s from (select case_id
     from {{lc}} group by 1) where hit is not null""")
 
 
-@query("K10_full_report", " union all ".join(
+REPORT = " union all ".join(
     f"select '{name}.{c}' as metric, round(cast({e} as double), 3) as value from {rows}"
-    for name, rows, cells in METRICS for c, e in cells.items()))
+    for name, rows, cells in METRICS for c, e in cells.items())
+
+
+@query("K10_report", REPORT)
+@query("K10_full_report", REPORT)
 def k10_all(spark, d):
     log = staged(item_log(spark, d))
     done = log.filter("lifecycle = 'complete' and activity = 'O_click'").select("case_id").distinct()
