@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.columns import START, UNKNOWN, ratio, total
 from ..functions.ordered import along, nth, total_before
 from ..functions.quantiles import quantiles
+from ..functions.staging import staged
 from . import boosting
 from .shape import encode, label_dictionary
 
@@ -177,39 +181,92 @@ def curve_at(df: DataFrame, u: str, name: str = "duration_s") -> DataFrame:
     return df.withColumn(name, F.greatest(F.lit(1.0), F.expm1(v0 + (v1 - v0) * inside)))
 
 
-def train_decisions(examples: DataFrame, features: Sequence[str], label: str = "label",
-                    order: Sequence[str] = ("case_start", "case_id", "position"),
-                    min_rows: int = MIN_ROWS) -> tuple[dict, DataFrame | None]:
-    """One decision tree per decision point with enough rows and at least two classes.
+def _best_cut(leaf: int):
+    """The split of one (dp_key, node) with the largest fall of the Gini impurity."""
+    def run(t: pa.Table) -> pa.Table:
+        out = {"dp_key": [], "node": [], "feature": [], "cut": []}
+        bins, width = t.column("bin").to_numpy(), int(pc.max(t.column("feature")).as_py()) + 1
+        label = t.column("label").combine_chunks().dictionary_encode()
+        n = np.zeros((width, boosting.BINS, len(label.dictionary)))
+        np.add.at(n, (t.column("feature").to_numpy(), bins, label.indices.to_numpy()), t.column("n").to_numpy())
+        left = n.cumsum(1)
+        whole = left[:, -1:]
+        right = whole - left
+
+        def purity(x):      # sum of squares over the count; its rise is the impurity's fall
+            size = x.sum(2)
+            return np.where(size > 0, (x * x).sum(2) / np.where(size > 0, size, 1), 0.0)
+        rise = np.round(purity(left) + purity(right) - purity(whole), 9)
+        rise = np.where((left.sum(2) >= leaf) & (right.sum(2) >= leaf), rise, 0.0).ravel()
+        at = int(rise.argmax())
+        if rise[at] > 0:
+            out = {"dp_key": [t.column("dp_key")[0].as_py()], "node": [t.column("node")[0].as_py()],
+                   "feature": [at // boosting.BINS], "cut": [at % boosting.BINS]}
+        return pa.table({"dp_key": pa.array(out["dp_key"], pa.string()), "node": pa.array(out["node"], pa.int64()),
+                         "feature": pa.array(out["feature"], pa.int32()), "cut": pa.array(out["cut"], pa.int32())})
+    return run
+
+
+def _stepped(rows: DataFrame, splits: list[DataFrame]) -> DataFrame:
+    """``rows`` with ``node``, the heap number they reach by the splits of the levels."""
+    rows = rows.withColumn("node", F.lit(0).cast("long"))
+    for s in splits:
+        right = F.get("bins", F.col("feature")) > F.col("cut")
+        rows = rows.join(s, ["dp_key", "node"], "left").withColumn("node", F.when(
+            F.col("feature").isNull(), F.col("node")).otherwise(
+            2 * F.col("node") + 1 + right.cast("long"))).drop("feature", "cut")
+    return rows
+
 
-    Returns ({dp_key: model}, predictions on the newest 20 %). Decision points
-    come from the net, so their number is small and known.
+def train_decisions(examples: DataFrame, features: Sequence[str], label: str = "label",
+                    order: Sequence[str] = ("case_start", "case_id", "position"), min_rows: int = MIN_ROWS,
+                    depth: int = TREE_DEPTH, leaf: int = TREE_LEAF) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(splits, leaves, predictions on the newest 20 %): the trees of all decision points at once.
+
+    Points with enough rows and at least two classes among the oldest 80 % get a tree.
+    Trees grow level by level: one aggregate counts labels by (point, node, feature, bin),
+    whatever the number of points, and each (point, node) picks its best cut from its
+    counts. Features are cut into at most 64 bins, null counts as the least. ``splits`` is
+    (dp_key, node, feature, cut), rows with bin > cut go to node 2 n + 2, others to 2 n + 1;
+    ``leaves`` is (dp_key, node, scores, predicted), equal shares go to the first label.
     """
-    sizes = examples.groupBy("dp_key").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("c"))
-    chosen = [r["dp_key"] for r in sizes.filter((F.col("n") >= min_rows) & (F.col("c") >= 2))
-              .orderBy("dp_key").collect()]       # one row per decision point of the net
-    models, out = {}, None
-    for dp in chosen:
-        rows = temporal_split(examples.filter(F.col("dp_key") == dp), order)
-        rows = feature_matrix(rows, features)
-        train = rows.filter("is_train")
-        if train.select(label).distinct().count() < 2:
-            continue
-        indexer = StringIndexer(inputCol=label, outputCol="__y", handleInvalid="keep",
-                                stringOrderType="alphabetAsc").fit(train)
-        tree = DecisionTreeClassifier(featuresCol="features", labelCol="__y", maxDepth=TREE_DEPTH,
-                                      minInstancesPerNode=TREE_LEAF, seed=42)
-        model = tree.fit(indexer.transform(train))
-        models[dp] = (model, indexer.labels)
-        names = F.array(*[F.lit(x) for x in indexer.labels])
-        p = model.transform(indexer.transform(rows.filter("not is_train")))
-        scores = F.slice(vector_to_array("probability"), 1, len(indexer.labels))
-        p = p.select("dp_key", F.col(label).alias("label"),
-                     F.try_element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted"),
-                     F.map_from_arrays(names, scores).alias("scores"))
-        out = p if out is None else out.unionByName(p)
-    return models, out
+    x = examples.filter(F.col("dp_key").isNotNull() & F.col(label).isNotNull()).select(
+        F.col("dp_key").cast("string").alias("dp_key"), F.col(label).cast("string").alias("label"),
+        *order, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    size = x.groupBy("dp_key").agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") >= min_rows)
+    x = along(x.join(size, "dp_key"), ["dp_key"], list(order), {"rn": nth()})
+    x = staged(x.withColumn("is_train", F.col("rn") < F.floor(F.col("points") * F.lit(0.8))))
+    train = x.filter("is_train")
+    known = train.groupBy("dp_key").agg(F.countDistinct("label").alias("classes")).filter("classes >= 2")
+    edges = boosting.edges(train, [f"x{i}" for i in range(len(features))])
+
+    def bin_of(i, e):
+        if not len(e):
+            return F.lit(0)
+        below = F.size(F.filter(F.array(*[F.lit(float(v)) for v in e]), lambda v: v < F.col(f"x{i}")))
+        return F.when(F.col(f"x{i}").isNull(), 0).otherwise(below)
+    x = staged(x.join(known, "dp_key", "left_semi").select(
+        "dp_key", "label", "is_train", F.array(*[bin_of(i, e) for i, e in enumerate(edges)]).alias("bins")))
+    splits: list[DataFrame] = []
+    for _ in range(depth):
+        at = _stepped(x.filter("is_train"), splits).filter(F.col("node") >= (1 << len(splits)) - 1)
+        counts = at.select("dp_key", "node", "label", F.posexplode("bins").alias("feature", "bin")).groupBy(
+            "dp_key", "node", "feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+        splits.append(staged(counts.groupBy("dp_key", "node").applyInArrow(
+            _best_cut(leaf), "dp_key string, node long, feature int, cut int")))
+    told = _stepped(x, splits)
+    per = told.filter("is_train").groupBy("dp_key", "node", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("dp_key", "node")))
+    classes = train.select("dp_key", "label").distinct().groupBy("dp_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", F.lit(0.0)))).alias("none"))
+    leaves = per.groupBy("dp_key", "node").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "share"))).alias("some"),
+        F.min(F.struct((-F.col("n")).alias("less"), "label")).alias("m")).join(classes, "dp_key")
+    leaves = staged(leaves.select("dp_key", "node", F.map_zip_with(
+        "none", "some", lambda k, a, b: F.coalesce(b, a)).alias("scores"), F.col("m.label").alias("predicted")))
+    out = told.filter("not is_train").join(leaves, ["dp_key", "node"]).select(
+        "dp_key", "label", "predicted", "scores")
+    return reduce(DataFrame.unionByName, splits), leaves, out
 
 
 def classification_metrics(p: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def examples(spark, d):
 @query("M7_decision_trees")
 def m7(spark, d):
     x = staged(examples(spark, d))
-    _, p = models.train_decisions(x, ["hour", "dow", "visit", "value"])
+    p = models.train_decisions(x, ["hour", "dow", "visit", "value"])[2]
     return rounded(models.classification_metrics(p).join(models.one_vs_rest_auc(p), "dp_key"))
 
 
@@ -149,7 +149,7 @@ def m7(spark, d):
 def m7b(spark, d):
     """Trees on the decisions of a replayed log."""
     x = staged(decision_examples(attributed(spark, d), NET2, ["goal"], ["amount"], "user"))
-    _, p = models.train_decisions(x, ["has_offer", "amount", "position"])
+    p = models.train_decisions(x, ["has_offer", "amount", "position"])[2]
     return rounded(models.classification_metrics(p))
 
 
