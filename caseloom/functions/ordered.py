@@ -25,7 +25,7 @@ from .staging import staged
 
 
 #: Rows that one task orders without being cut, at least.
-LEAST = 1 << 14
+LEAST = 1 << 17
 
 
 @dataclass(frozen=True)

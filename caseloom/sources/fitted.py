@@ -78,6 +78,52 @@ def read_reference(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+_FIT = (("distribution", "string"), ("params", "array<double>"), ("mean_s", "double"), ("std_s", "double"),
+        ("n", "bigint"), ("zero_prob", "double"), ("p99_s", "double"), ("overall_mean_s", "double"))
+
+
+def _fits(df: DataFrame, name: str) -> DataFrame:
+    """Fits (activity, distribution, params, ...) as one map; what is not known is left out."""
+    f = F.struct(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in _FIT])
+    return nested(df.select("activity", f.alias("f")), ["activity"], "f", name)
+
+
+def reference_document(activity_counts: DataFrame, processing_times: DataFrame, branching: DataFrame,
+                       by_visit: DataFrame, variants: DataFrame, active_times: DataFrame | None = None,
+                       session_end: DataFrame | None = None, suspend_end: DataFrame | None = None,
+                       resume_gaps: DataFrame | None = None, withdraws: DataFrame | None = None) -> DataFrame:
+    """All mined tables as one JSON-ready row that ``read_reference`` takes apart again.
+
+    ``activity_counts`` is (activity, n), ``branching`` (activity, next_activity, p),
+    ``by_visit`` the same with visit_bucket, ``variants`` (rank, frequency, pct, trace,
+    total_variants), ``session_end`` (activity, p_complete), ``suspend_end`` (activity,
+    p_resume); the others are fits by activity. The lifecycle block is written if
+    ``active_times`` is given; its other tables may be missing.
+    """
+    top = variants.agg(
+        F.max("total_variants").cast("bigint").alias("total_variants"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "frequency", "pct", "trace"))),
+                    lambda v: v).alias("top_20"))
+    out = nested(activity_counts, ["activity"], "n", "activity_counts").select(
+        "activity_counts", _fits(processing_times, "f").scalar().alias("processing_times"),
+        nested(branching.select("activity", "next_activity", "p"), ["activity", "next_activity"], "p", "m")
+        .scalar().alias("branching_probs"),
+        nested(by_visit.select("activity", "visit_bucket", "next_activity", "p"),
+               ["activity", "visit_bucket", "next_activity"], "p", "m").scalar().alias("branching_probs_by_visit"),
+        top.select(F.struct("total_variants", "top_20").alias("v")).scalar().alias("process_variants"))
+    if active_times is None:
+        return out
+    blocks = {"processing_times": _fits(active_times, "f")}
+    for name, df, p in (("session_end_probs", session_end, "p_complete"),
+                        ("suspend_end_probs", suspend_end, "p_resume")):
+        if df is not None:
+            blocks[name] = nested(df.select("activity", p), ["activity"], p, "m")
+    for name, df in (("resume_gap_params", resume_gaps), ("withdraw_hazard", withdraws)):
+        if df is not None:
+            blocks[name] = _fits(df, "f")
+    return out.withColumn("lifecycle", F.struct(*[b.scalar().alias(n) for n, b in blocks.items()]))
+
+
 def lifecycle_parameters(document: DataFrame) -> DataFrame:
     """Per activity: hazards, resume-gap and withdraw fits of the lifecycle block."""
     lf = document.select("lifecycle.*")
