@@ -8,6 +8,7 @@ segmentations (the forward algorithm); a text's is the product over its words.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -139,7 +140,14 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.memo = model, Memo(MEMO)
-        self.rows = np.zeros((1, len(model.langs)))
+        self.table, self.used = np.zeros((1024, len(model.langs))), 1
+
+    def _add(self, rows: np.ndarray):
+        end = self.used + len(rows)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(end, len(self.table)), rows.shape[1]))])
+        self.table[self.used:end] = rows
+        self.used = end
 
     def _learn(self, new: list[str]):
         alpha = [w for w in new if w.isalpha()]
@@ -147,15 +155,15 @@ class Scorer:
             if not w.isalpha():
                 rest = "".join(c for c in w if c.isalpha())
                 if rest:
-                    self.rows = np.vstack([self.rows, self.model.likelihoods([rest])])
-                self.memo[w] = len(self.rows) - 1 if rest else 0
-        self.memo.update(zip(alpha, range(len(self.rows), len(self.rows) + len(alpha))))
-        self.rows = np.vstack([self.rows, self.model.likelihoods(alpha)])
+                    self._add(self.model.likelihoods([rest]))
+                self.memo[w] = self.used - 1 if rest else 0
+        self.memo.update(zip(alpha, range(self.used, self.used + len(alpha))))
+        self._add(self.model.likelihoods(alpha))
 
     def predict(self, texts: list) -> list[list]:
         if len(self.memo) > self.memo.limit:
             self.memo.clear()
-            self.rows = self.rows[:1]
+            self.used = 1
         split = [letters(t) if t else [] for t in texts]
         new = [w for w in set().union(*split) if w not in self.memo] if split else []
         if new:
@@ -167,13 +175,25 @@ class Scorer:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            total = self.rows[at].sum(0)
+            total = self.table[at].sum(0)
             best = int(total.argmax())
             langs.append(self.model.langs[best])
             scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
         return [langs, scores]
 
 
+_SCORERS: dict = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """The scorer of a model in this worker process: its words serve later tasks, too."""
+    key = (model.path, tuple(model.langs), hashlib.sha256(model.probs.tobytes()).digest())
+    if key not in _SCORERS:
+        _SCORERS.clear()        # one model at a time: bounded memory
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
+
+
 def _word_counts(batches):
     seen: Counter = Counter()
 
@@ -244,7 +264,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text",
     Texts that are null or hold no letter get ``und`` and score 0.
     """
     def make():
-        return Scorer(model).predict
+        return scorer(model).predict
     return with_columns(docs, text, list(keep), "lang_pred string, score double", make)
 
 
