@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 from ..functions.ship import ship
 from ..functions.staging import staged
-from .base import WORD, fresh, partitions, query, table
+from .base import WORD, fresh, query, table
 from .substrings import Hasher, mix
-from .texts import arrow_map, by_bytes
+from .texts import arrow_map, by_bytes, whole_groups
 
 SHINGLE = 5
 THRESHOLD = "4/5"
@@ -38,6 +38,8 @@ TOLERANCE = 1e-9
 LOOSE = 0.35                # estimated similarity that ties a member to a leader
 BLOCK = 256                 # members compared with each other at a time
 HOT = 4096                  # members of a bucket handled together
+PIECE = 2048                # rows of small groups handled together
+FOREST = 200_000            # nodes whose links a task joins up before it hands them on
 
 _U = np.uint64
 _WORDS = re.compile(WORD)
@@ -242,6 +244,46 @@ def _gather(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
+def _forest(tables):
+    """Links (a, b) of a task as a forest: one link from each node to its tree's smallest."""
+    up: dict = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def trees():
+        rows = [(x, r) for x in list(up) if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)],
+                                          names=["a", "b"])
+    for t in tables:
+        for x, y in zip(t.column("a").to_pylist(), t.column("b").to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) > FOREST:
+            yield trees()
+            up.clear()
+    yield trees()
+
+
+def _lead(batches):
+    """Buckets, sorted: the forest of the ties between their members."""
+    return _forest(_gather(t) for t in whole_groups(batches, ["key", "blk"], PIECE))
+
+
+def _proofs(threshold: str):
+    prove = _prove(threshold)
+
+    def run(batches):
+        for t in whole_groups(batches, ["label", "i", "j"], BLOCK):
+            yield from prove(t).to_batches()
+    return run
+
+
 def _sets(batches):
     """Shingle sets of the class members to compare, checked against the class."""
     hasher = Hasher()
@@ -351,10 +393,10 @@ def _classed(docs: DataFrame, text: str, doc_id: str, keep: tuple, threshold: st
     members = bands.join(chosen, "key").select(
         "key", "cls", F.when(F.col("k") > HOT, F.pmod(F.xxhash64("cls"), blocks))
         .otherwise(-1).cast("int").alias("blk"))
-    deals = 4 * partitions(spark)
-    edges = (members.join(classes.select("cls", "sig"), "cls")
-             .withColumn("deal", F.pmod(F.xxhash64("key", "blk"), F.lit(deals)))
-             .groupBy("deal").applyInArrow(_gather, "a binary, b binary"))
+    # a task reads its buckets one by one, in order, and hands on a forest of their ties
+    ties = arrow_map(members.join(classes.select("cls", "sig"), "cls").repartition("key", "blk")
+                     .sortWithinPartitions("key", "blk", "cls"), _lead, "a binary, b binary")
+    edges = arrow_map(ties.repartition("a"), _forest, "a binary, b binary")
     # leaders of a split bucket meet through the bucket's smallest member
     hot = members.filter("blk >= 0").groupBy("key", "blk").agg(F.min("cls").alias("a"))
     hot = hot.join(members.filter("blk >= 0").groupBy("key").agg(F.min("cls").alias("b")), "key")
@@ -373,9 +415,9 @@ def _classed(docs: DataFrame, text: str, doc_id: str, keep: tuple, threshold: st
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "label", "cls", "n", "shingles", "sig", "own",
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    proved = staged(
-        jobs.withColumn("deal", F.pmod(F.xxhash64("label", "i", "j"), F.lit(deals)))
-        .groupBy("deal").applyInArrow(_prove(threshold), "cls binary, root binary, links bigint, texts bigint"))
+    proved = staged(arrow_map(
+        jobs.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j"),
+        _proofs(threshold), "cls binary, root binary, links bigint, texts bigint"))
     counts = proved.groupBy("cls").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     parts = components(proved.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     grouped = staged(classes.select("cls", "rep", "n").join(

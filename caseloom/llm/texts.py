@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -33,10 +34,44 @@ def by_bytes(batches: Iterable[pa.RecordBatch], text: str,
             at = to
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Sorted batches cut where a key begins: tables of about ``rows`` rows, or of one group."""
+    held, n, last = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        new[0] = last is not None and last != [c[0].as_py() for c in cols]
+        for c in cols:
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        last, at = [c[len(c) - 1].as_py() for c in cols], 0
+        for s in np.flatnonzero(new).tolist():
+            if n + s - at >= rows:
+                yield pa.Table.from_batches([*held, b.slice(at, s - at)])
+                held, n, at = [], 0, s
+        held.append(b.slice(at))
+        n += b.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _given_back(fn):
+    """``fn`` that ends by giving free memory back: a worker process serves many tasks."""
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):       # a C library without it
+            pass
+    return run
+
+
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` with a function of this package, which the workers are sent first."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_given_back(fn), schema)
 
 
 def with_columns(docs: DataFrame, text: str, keep: list[str], fields: str,

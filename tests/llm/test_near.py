@@ -158,3 +158,37 @@ def test_clashing_names(spark):
     got = near.similarity_join(df, keep=("doc_id", "class_id", "n_links"))
     assert got.columns == ["doc_id", "class_id", "n_links", "_class_id", "_n_links", "n_linked_texts"]
     assert [tuple(x) for x in got.collect()] == [(1, "x", 5, 1, 0, 0)]
+
+
+def test_whole_groups_cuts_only_between_groups():
+    import pyarrow as pa
+    from caseloom.llm.texts import whole_groups
+    r = random.Random(4)
+    keys = sorted((r.randrange(6), r.randrange(3)) for _ in range(300)) + [(9, 0)] * 50
+    b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys])], ["k", "b"])
+    for size in (1, 7, 350):
+        batches = [b.slice(0, 0)] + [b.slice(i, size) for i in range(0, len(keys), size)]
+        got = [list(zip(*(t.column(c).to_pylist() for c in ("k", "b")))) for t in whole_groups(batches, ["k", "b"], 40)]
+        assert [x for g in got for x in g] == keys
+        assert all(g[-1] != h[0] for g, h in zip(got, got[1:]))
+        assert all(len(g) >= 40 for g in got[:-1])
+    assert list(whole_groups([], ["k"], 40)) == []
+
+
+def test_forest_keeps_parts_and_one_link_a_node():
+    import pyarrow as pa
+    r = random.Random(5)
+    pairs = [(bytes([r.randrange(60)]), bytes([r.randrange(60)])) for _ in range(40)]
+    t = pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+    out = [x for o in near._forest([t.slice(0, 25), t.slice(25)]) for x in zip(*(c.to_pylist() for c in o.columns))]
+    assert len({a for a, _ in out}) == len(out)
+    def parts(links):
+        up = {}
+        def find(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+        for x, y in links:
+            up[find(x)] = find(y)
+        return sorted(sorted(x for x in up if find(x) == k) for k in {find(x) for x in list(up)} if sum(find(x) == k for x in up) > 1)
+    assert parts(out) == parts([p for p in pairs if p[0] != p[1]])
