@@ -3,7 +3,11 @@
 The net is a small object; the log is not. Equal traces are replayed once: one
 case stands for each variant, its events are sorted inside a partition and
 streamed through a small state machine batch by batch, so a trace is never held
-in memory whole. All counting is done by Spark on what the replay emits.
+in memory whole. A trace that is much longer than a partition's share of the events
+is cut into blocks: each block is read from every marking that can be reached at all,
+which gives a table from the marking before it to the one after it; the tables are
+composed in order, and then every block is replayed from its true start, on its own.
+All counting is done by Spark on what the replay emits.
 """
 
 from __future__ import annotations
@@ -18,8 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import ordered
 from ..functions.columns import END, ratio
-from ..functions.ordered import along, latest_before
+from ..functions.ordered import along, in_blocks, latest_before
+from ..functions.ship import ship
+from ..functions.staging import staged
 from .shape import bucket, fingerprints, first_of_case, order_of, positions
 
 
@@ -156,12 +163,60 @@ STEP_SCHEMA = ("example_case string, position long, activity string, kind string
                "taken long, given long, missing long, surplus long, remaining long")
 
 
-def _streamed(net: PetriNet):
-    """mapInPandas function: events sorted by case in, one row per event and per end out."""
+#: Markings that a block is read from, at most; a net with more replays a long trace in one task.
+MARKINGS = 1024
+_PRIME = (1 << 127) - 1
+_BASE = 0x9E3779B97F4A7C15F39CC0605CEDC835
+
+
+class Prefix:
+    """What a prefix of labels is known by: a polynomial, so that blocks can be put together."""
+
+    def __init__(self):
+        self._code: dict = {}
+
+    def add(self, h: int, label) -> int:
+        x = self._code.get(label)
+        if x is None:
+            x = self._code[label] = int(hashlib.md5(str(label).encode()).hexdigest(), 16) % _PRIME
+        return (h * _BASE + x + 1) % _PRIME
+
+    @staticmethod
+    def join(h: int, n: int, block: int) -> int:
+        """The prefix ``h`` followed by ``n`` labels that alone give ``block``."""
+        return (h * pow(_BASE, n, _PRIME) + block) % _PRIME
+
+
+def reachable(net: PetriNet, limit: int = MARKINGS) -> list | None:
+    """All markings that replay can be in before an event, the initial one first; None if
+    there are more than ``limit``."""
+    player, labels = Player(net), net.labels()
+    found = {net.initial: None}
+    queue = [net.initial]
+    for m in queue:
+        for label in labels:
+            after = player.step(m, label)[1]
+            if after not in found:
+                found[after] = None
+                queue.append(after)
+                if len(found) > limit:
+                    return None
+    return queue
+
+
+def _streamed(net: PetriNet, marks: list | None = None):
+    """mapInPandas function: events sorted by case in, one row per event and per end out.
+
+    With ``marks`` the rows are sorted by case and block (``b``) and say how their block
+    starts: ``at`` (a number in ``marks``), ``pos``, ``fits``, ``prefix``, and whether the
+    trace ends with it (``last``).
+    """
+    names = [f.split()[0] for f in STEP_SCHEMA.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        player = Player(net)
-        case = marking = None
-        pos, fits, prefix = 0, True, ""
+        player, chain = Player(net), Prefix()
+        now = case = marking = None
+        pos, fits, prefix, last = 0, True, 0, True
         start = dict(net.initial)
 
         def close(out):
@@ -175,31 +230,113 @@ def _streamed(net: PetriNet):
                 left = sum(max(0, n - want.get(q, 0)) for q, n in have.items())
                 c = p = 0
             out.append((case, pos, END, "end", " | ".join(sorted(front)), cost is not None, fits,
-                        prefix, c + sum(want.values()), p + sum(start.values()), lack, 0, left))
+                        f"{prefix:x}", c + sum(want.values()), p + sum(start.values()), lack, 0, left))
 
         for batch in batches:
             out: list = []
-            for c, label in zip(batch["case_id"], batch["activity"]):
-                if c != case:
-                    if case is not None:
+            cut = None if marks is None else batch["b"].tolist()
+            for r, (c, label) in enumerate(zip(batch["case_id"], batch["activity"])):
+                key = c if cut is None else (c, cut[r])
+                if key != now:
+                    if now is not None and last:
                         close(out)
-                    case, marking, pos, fits, prefix = c, net.initial, 0, True, ""
+                    now, case = key, c
+                    if cut is None:
+                        marking, pos, fits, prefix = net.initial, 0, True, 0
+                    else:
+                        x = batch.iloc[r]
+                        marking, pos, fits = marks[int(x["at"])], int(x["pos"]), bool(x["fits"])
+                        prefix, last = int(x["prefix"], 16), bool(x["last"])
                 front = player.frontier(marking)
                 can_end = player.stop_cost(marking) is not None
                 kind, after, taken, given, lack, surplus = player.step(marking, label)
                 out.append((case, pos, label, kind, " | ".join(sorted(front)), can_end, fits,
-                            prefix, taken, given, lack, surplus, 0))
+                            f"{prefix:x}", taken, given, lack, surplus, 0))
                 marking, pos = after, pos + 1
                 fits = fits and kind == "legal"
-                prefix = hashlib.md5(f"{prefix}|{label}".encode()).hexdigest()
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in STEP_SCHEMA.split(", ")])
-        if case is not None:
+                prefix = chain.add(prefix, label)
+            yield pd.DataFrame(out, columns=names)
+        if now is not None and last:
             out = []
             close(out)
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in STEP_SCHEMA.split(", ")])
+            yield pd.DataFrame(out, columns=names)
+    return run
+
+
+_TABLE = "case_id string, b int, n long, prefix string, after array<int>, legal array<boolean>"
+_START = "case_id string, b int, at int, pos long, fits boolean, prefix string, last boolean"
+
+
+def _tabled(net: PetriNet, marks: list):
+    """mapInPandas function: per block, where each marking leads and if all its steps are legal."""
+    number = {m: i for i, m in enumerate(marks)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        player, chain = Player(net), Prefix()
+        moves: dict = {}
+        now, n, prefix, legal = None, 0, 0, []
+        where: dict = {}        # marking now -> the markings that led here
+
+        def row():
+            after = [0] * len(marks)
+            for m, first in where.items():
+                for i in first:
+                    after[i] = m
+            return (*now, n, f"{prefix:x}", after, list(legal))
+        for batch in batches:
+            out = []
+            for c, b, label in zip(batch["case_id"], batch["b"].tolist(), batch["activity"]):
+                if (c, b) != now:
+                    if now is not None:
+                        out.append(row())
+                    now, n, prefix, legal = (c, b), 0, 0, [True] * len(marks)
+                    where = {i: [i] for i in range(len(marks))}
+                then: dict = {}
+                for m, first in where.items():
+                    if (m, label) not in moves:
+                        kind, after, *_ = player.step(marks[m], label)
+                        moves[m, label] = number[after], kind == "legal"
+                    to, ok = moves[m, label]
+                    if not ok:
+                        for i in first:
+                            legal[i] = False
+                    if to in then:      # from here on these go the same way
+                        then[to] = then[to] + first
+                    else:
+                        then[to] = first
+                where, n, prefix = then, n + 1, chain.add(prefix, label)
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in _TABLE.split(", ")])
+        if now is not None:
+            yield pd.DataFrame([row()], columns=[f.split()[0] for f in _TABLE.split(", ")])
     return run
 
 
+def _composed(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Tables of one trace's blocks: the state each block starts in."""
+    blocks = blocks.sort_values("b")
+    at, pos, fits, prefix, out = 0, 0, True, 0, []
+    for i, x in enumerate(blocks.itertuples()):
+        out.append((x.case_id, x.b, at, pos, fits, f"{prefix:x}", i == len(blocks) - 1))
+        fits = fits and bool(x.legal[at])
+        at, pos, prefix = int(x.after[at]), pos + int(x.n), Prefix.join(prefix, int(x.n), int(x.prefix, 16))
+    return pd.DataFrame(out, columns=[f.split()[0] for f in _START.split(", ")])
+
+
+def _in_pieces(rows: DataFrame, net: PetriNet, marks: list, blocks: int) -> DataFrame:
+    """Steps of long traces, block by block."""
+    order = order_of(rows)
+    cut = in_blocks(rows.select("case_id", "activity", *order), ["case_id"], order, blocks) \
+        .withColumnRenamed("__b", "b")
+
+    def dealt(d):
+        return d.repartition("case_id", "b").sortWithinPartitions("case_id", "b", *order).drop(*order)
+    # a block and a trace give one row, so these tables have no more rows than two a block
+    tables = dealt(cut).mapInPandas(_tabled(net, marks), _TABLE)
+    starts = staged(tables.groupBy("case_id").applyInPandas(_composed, _START))
+    return dealt(cut.join(F.broadcast(starts), ["case_id", "b"])).mapInPandas(
+        _streamed(net, marks), STEP_SCHEMA)
+
+
 def variant_cases(df: DataFrame) -> DataFrame:
     """case_id, example_case: the smallest case id with the same trace."""
     fp = fingerprints(df)
@@ -210,13 +347,29 @@ def variant_cases(df: DataFrame) -> DataFrame:
 def replay(df: DataFrame, net: PetriNet) -> DataFrame:
     """Replay steps of one case per variant, with ``weight`` = cases of the variant.
 
-    One row per event and one (kind = end) per trace.
+    One row per event and one (kind = end) per trace. A trace with over twice a
+    partition's share of the events is replayed in blocks, with the same steps. That
+    needs the net's reachable markings; with more than ``MARKINGS`` of them one task
+    replays such a trace, in constant memory.
     """
-    fp = fingerprints(df).groupBy("fp1", "fp2", "length").agg(
-        F.min("case_id").alias("case_id"), F.count(F.lit(1)).alias("weight"))
-    shown = df.join(fp.select("case_id"), "case_id", "left_semi")
+    spark = df.sparkSession
+    ship(spark)
+    fp = staged(fingerprints(df).groupBy("fp1", "fp2", "length").agg(
+        F.min("case_id").alias("case_id"), F.count(F.lit(1)).alias("weight")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = fp.agg(F.sum("length")).first()[0] or 0
+    block = max(ordered.LEAST, total // n)
+    # no more than n / 2 traces can be that long
+    long = fp.filter(F.col("length") > 2 * block).select("case_id", "length").collect()
+    marks = reachable(net) if long else None
+    short = fp if marks is None else fp.filter(F.col("length") <= 2 * block)
+    shown = df.join(short.select("case_id"), "case_id", "left_semi")
     rows = shown.repartition("case_id").sortWithinPartitions("case_id", *order_of(df))
     steps = rows.select("case_id", "activity").mapInPandas(_streamed(net), STEP_SCHEMA)
+    if marks is not None:
+        blocks = min(n, -(-sum(r["length"] for r in long) // block))
+        whole = df.join(F.broadcast(fp.filter(F.col("length") > 2 * block).select("case_id")), "case_id", "left_semi")
+        steps = steps.unionByName(_in_pieces(whole, net, marks, blocks))
     return steps.join(fp.select(F.col("case_id").alias("example_case"), "weight"), "example_case")
 
 

@@ -106,6 +106,39 @@ def test_replay_of_variants_equals_replay_of_every_case(spark):
     assert (s.n_perfect, s.n_repaired) == (want["perfect"], want["repaired"])
 
 
+def test_long_traces_are_replayed_in_blocks_with_the_same_steps(spark, monkeypatch):
+    """A trace of a third of the events, one of a quarter, and short ones that begin like them."""
+    r = random.Random(8)
+    traces = {f"c{c}": [r.choice(["user", "assistant", "system"]) for _ in range(r.randrange(1, 8))] for c in range(40)}
+    traces["big"] = ["system"] + ["user", "assistant"] * 60
+    traces["like"] = traces["big"][:9]
+    traces["odd"] = [r.choice(["user", "assistant", "assistant", "system", "other"]) for _ in range(90)]
+    df = log(spark, [(c, a, "r", "complete", i) for c, t in traces.items() for i, a in enumerate(t)])
+    whole = sorted(map(tuple, replay.replay(df, NET).collect()))
+    precise = replay.precision(replay.replay(df, NET)).first()[0]
+    monkeypatch.setattr(replay.ordered, "LEAST", 16)
+    seen = []
+    cut = replay._in_pieces
+    monkeypatch.setattr(replay, "_in_pieces", lambda *a: seen.append(a[3]) or cut(*a))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        steps = replay.replay(df, NET)
+        assert sorted(map(tuple, steps.collect())) == whole and seen[0] > 4
+        assert replay.precision(steps).first()[0] == precise
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # the same steps as those of the firing rule, one event after the other
+    p, m = replay.Player(NET), NET.initial
+    kinds = []
+    for a in traces["odd"]:
+        kind, m, *_ = p.step(m, a)
+        kinds.append(kind)
+    assert [x[1] for x in sorted((x.position, x.kind) for x in steps.collect()
+                                 if x.example_case == "odd" and x.kind != "end")] == kinds
+    assert replay.reachable(NET, 1) is None and replay.reachable(NET)[0] == NET.initial
+
+
 def test_repair_caps_places_at_one_token():
     p = replay.Player(NET)
     m = p.step(NET.initial, "user")[1]
