@@ -136,11 +136,17 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; likelihoods of words seen lately are kept in bounded memory."""
+    """Scores texts; likelihoods of words seen lately are kept in bounded memory.
+
+    A word's row holds its log-likelihood in each language and its number of letters.
+    """
 
     def __init__(self, model: Model):
         self.model, self.memo = model, Memo(MEMO)
-        self.table, self.used = np.zeros((1024, len(model.langs))), 1
+        self.table, self.used = np.zeros((1024, len(model.langs) + 1)), 1
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        return np.column_stack([self.model.likelihoods(words), np.fromiter(map(len, words), float, len(words))])
 
     def _add(self, rows: np.ndarray):
         end = self.used + len(rows)
@@ -155,10 +161,10 @@ class Scorer:
             if not w.isalpha():
                 rest = "".join(c for c in w if c.isalpha())
                 if rest:
-                    self._add(self.model.likelihoods([rest]))
+                    self._add(self._rows([rest]))
                 self.memo[w] = self.used - 1 if rest else 0
         self.memo.update(zip(alpha, range(self.used, self.used + len(alpha))))
-        self._add(self.model.likelihoods(alpha))
+        self._add(self._rows(alpha))
 
     def predict(self, texts: list) -> list[list]:
         if len(self.memo) > self.memo.limit:
@@ -168,18 +174,21 @@ class Scorer:
         new = [w for w in set().union(*split) if w not in self.memo] if split else []
         if new:
             self._learn(new)
-        langs, scores = [], []
+        langs, scores, letter = [], [], []
         for words in split:
             at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
             if not at.any() or not self.model.langs:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
+                letter.append(None)
                 continue
             total = self.table[at].sum(0)
+            total, size = total[:-1], total[-1]
             best = int(total.argmax())
             langs.append(self.model.langs[best])
             scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-        return [langs, scores]
+            letter.append(float(total[best] / size))
+        return [langs, scores, letter]
 
 
 _SCORERS: dict = {}
@@ -259,13 +268,14 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS)
 
 def predict(docs: DataFrame, model: Model, text: str = "text",
             keep: tuple = ("doc_id",)) -> DataFrame:
-    """``keep`` plus ``lang_pred`` and ``score``, the posterior of that language.
+    """``keep`` plus ``lang_pred``, ``score``, the posterior of that language, and
+    ``per_letter``, the log-likelihood of the text in it, a letter.
 
-    Texts that are null or hold no letter get ``und`` and score 0.
+    Texts that are null or hold no letter get ``und``, score 0 and no ``per_letter``.
     """
     def make():
         return scorer(model).predict
-    return with_columns(docs, text, list(keep), "lang_pred string, score double", make)
+    return with_columns(docs, text, list(keep), "lang_pred string, score double, per_letter double", make)
 
 
 @query("op10_language_id")

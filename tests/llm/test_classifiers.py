@@ -126,3 +126,13 @@ def test_predicts_held_out_languages(spark):
             assert x.lang_pred == want[x.doc_id]
     empty = language.fit(docs.limit(0), PATH)
     assert language.predict(docs.limit(2), empty).first().lang_pred == "und"
+
+
+def test_likelihood_a_letter():
+    """The text's likelihood in its best language over its letters; none without letters."""
+    vocab = language.vocabulary(PATH)
+    m = language.Model(PATH, ["a", "b"], np.random.default_rng(2).random((len(vocab) + 1, 2)) + 0.01)
+    langs, _, per = language.Scorer(m).predict(["water river, a2b", "12", None])
+    want = m.likelihoods(["water", "river", "a", "b"]).sum(0)
+    assert langs == [["a", "b"][int(want.argmax())], "und", "und"]
+    assert abs(per[0] - want.max() / 12) < 1e-9 and per[1:] == [None, None]
