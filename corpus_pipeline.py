@@ -16,6 +16,9 @@ from caseloom.llm import language, near, packing, substrings, toxicity
 
 #: A language is believed from this posterior on.
 SURE = 0.4
+#: A text whose likelihood in its best language is below this, in nats a letter, is in none
+#: that was learned: even letters dealt by chance from an alphabet of 90 would explain it better.
+STRANGE = -4.5
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, tuple, str]:
@@ -38,12 +41,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a letter and are told to be in one learned language.
 
-    The score is the posterior among the learned languages. Columns of any name stay.
+    The score is the posterior among the learned languages; the likelihood a letter tells
+    random letters and other languages apart. Columns of any name stay.
     """
     model = language.fit(docs, public_tokenizers.path(language.VOCABULARY))
     rows, names, text = _numbered(docs)
     told = language.predict(rows, model, text=text, keep=names)
-    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)) \
+    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)
+                       & (F.col("per_letter") >= STRANGE)) \
         .select(*names).toDF(*docs.columns)
 
 

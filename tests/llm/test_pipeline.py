@@ -33,6 +33,8 @@ def corpus(tmp_path_factory, spark):
         if i % 2:
             w[-1] = "changed"
         rows.append((i, " ".join(w), rows[i - 295][2], "copy", 0))
+    rows += [(903, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)), None, "s", 0),
+             (904, "Быстрая лиса прыгает через ленивую собаку и бежит домой", None, "s", 0)]
     rows += [(900, None, "en", None, None), (901, "", None, "s", 0), (902, "12 34 !!", "en", "s", 8),
              (5, rows[5][1], rows[5][2], "again", 0)]
     rows = [(i, t, lang, s, len(t) if t is not None else None) for i, t, lang, s, _ in rows]
@@ -56,7 +58,7 @@ def test_stages(spark, corpus):
     assert {x.doc_id for x in before} - {x.doc_id for x in after} == \
         {x.doc_id for x in before if x.text and "1diot" in x.text}
     before, after = seen["language_id"]
-    assert {x.doc_id for x in before} - {x.doc_id for x in after} == {900, 901, 902}
+    assert {x.doc_id for x in before} - {x.doc_id for x in after} == {900, 901, 902, 903, 904}
     before, after = seen["ngram_jaccard_join"]
     sets = [(x.doc_id, shingles(x.text)) for x in before]
     up = {i: i for i, _ in sets}
