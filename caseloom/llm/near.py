@@ -419,7 +419,8 @@ def _classed(docs: DataFrame, text: str, doc_id: str, keep: tuple, threshold: st
         jobs.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j"),
         _proofs(threshold), "cls binary, root binary, links bigint, texts bigint"))
     counts = proved.groupBy("cls").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    parts = components(proved.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    spanning = proved.select(F.col("cls").alias("a"), F.col("root").alias("b")).filter("a <> b")
+    parts = components(arrow_map(spanning.repartition("a"), _forest, "a binary, b binary"))
     grouped = staged(classes.select("cls", "rep", "n").join(
         parts.withColumnRenamed("node", "cls"), "cls", "left").join(counts, "cls", "left").select(
         "cls", "rep", F.coalesce("label", "cls").alias("label"),
