@@ -21,6 +21,21 @@ def test_ids_equal_library():
         assert list(enc.encode(t)) == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_every_code_point_is_encoded_as_in_the_library():
+    tok, enc = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    for i in range(0, len(points), 500):
+        t = "".join(f"a{chr(p)}b {chr(p)} 1{chr(p)}" for p in points[i:i + 500])
+        assert list(enc.encode(t)) == tok.encode(t, add_special_tokens=False).ids, hex(points[i])
+
+
+def test_ids_without_an_encoder_by_ranks(monkeypatch):
+    monkeypatch.setattr(packing, "_ranked", lambda *_: None)
+    slow, fast = packing.Encoder(PATH), packing.encoder(PATH)
+    for t in ["", "the river's  town\n", "x" * 500 + " <|endoftext|> é語"]:
+        assert slow.encode(t) == fast.encode(t)
+
+
 def test_patterns_use_every_piece_once():
     r = random.Random(4)
     for _ in range(50):
