@@ -31,6 +31,7 @@ LONGEST_WORD = 48       # letters; longer runs are cut
 FLOOR = 1e-7            # probability of a letter or piece never seen
 FOLDS, FOLD = 3, 1
 MEMO = 300_000          # words
+BLOCK = 8_192           # words of one length that are worked on at once
 UNKNOWN = "und"
 
 RUNS = re.compile(r"[^\W\d_]+")
@@ -62,23 +63,66 @@ def letters(text: str) -> list[str]:
     return out
 
 
-def _lattice(words: list[str], vocab: dict, longest: int):
+class Trie:
+    """Prefixes of the pieces as numbered nodes; many nodes take a letter in one step."""
+
+    def __init__(self, pieces: dict):
+        alphabet = sorted(set("".join(pieces)))
+        self.width = len(alphabet) + 1
+        self.code = np.zeros(0x110000, np.int64)        # 0: a letter of no piece
+        self.code[[ord(c) for c in alphabet]] = range(1, self.width)
+        nodes, edges, self.longest = {"": 0}, {}, max(map(len, pieces))
+        for p in pieces:
+            for m in range(1, len(p) + 1):
+                if p[:m] not in nodes:
+                    nodes[p[:m]] = len(nodes)
+                    edges[nodes[p[:m - 1]] * self.width + int(self.code[ord(p[m - 1])])] = nodes[p[:m]]
+        self.keys = np.array(sorted(edges), np.int64)
+        self.child = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.piece = np.full(len(nodes), -1, np.int32)
+        for p, i in pieces.items():
+            self.piece[nodes[p]] = i
+
+    def codes(self, text: str) -> np.ndarray:
+        return self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The nodes that the letters lead to, 0 where no piece goes on so."""
+        key = node * self.width + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.child[at], 0)
+
+
+@functools.lru_cache(maxsize=2)
+def trie(path: str) -> Trie:
+    return Trie(vocabulary(path))
+
+
+def _lattice(words: list[str], pieces: Trie, letter: int):
     """Per length: the words' places and, for each start and piece length, the piece id.
 
-    Id ``len(vocab)`` is a letter outside the vocabulary, ``len(vocab) + 1`` no piece.
+    Id ``letter`` is a letter outside the vocabulary, ``letter + 1`` no piece. Words come
+    in blocks, so that memory is bounded.
     """
     groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[len(w) + 1].append(i)
-    get, letter, none = vocab.get, len(vocab), len(vocab) + 1
-    for n, at in groups.items():
-        k = min(n, longest)
-        ids = np.full((len(at), n, k), none, dtype=np.int32)
-        for row, i in enumerate(at):
-            w = "▁" + words[i]
-            ids[row] = [[get(w[j:j + m], letter if m == 1 else none) if j + m <= n else none
-                         for m in range(1, k + 1)] for j in range(n)]
-        yield n, np.array(at), ids
+    for n, every in groups.items():
+        for s in range(0, len(every), BLOCK):
+            at = every[s:s + BLOCK]
+            codes = pieces.codes("".join("▁" + words[i] for i in at)).reshape(len(at), n)
+            ids = np.full((len(at), n, min(n, pieces.longest)), letter + 1, dtype=np.int32)
+            ids[:, :, 0] = letter
+            row, start = (x.ravel() for x in np.indices(codes.shape))
+            node = np.zeros(len(row), np.int64)
+            for m in range(ids.shape[2]):
+                node = pieces.step(node, codes[row, start + m])
+                piece = pieces.piece[node]
+                has = piece >= 0
+                ids[row[has], start[has], m] = piece[has]
+                alive = (node > 0) & (start + m + 1 < n)
+                row, start, node = row[alive], start[alive], node[alive]
+            yield n, np.array(at), ids
 
 
 def forward(ids: np.ndarray, probs: np.ndarray) -> np.ndarray:
@@ -108,7 +152,6 @@ class Model:
     def __init__(self, path: str, langs: list[str], counts: np.ndarray | None = None):
         self.path, self.langs = path, langs
         size = len(vocabulary(path))
-        self.longest = max(map(len, vocabulary(path)))
         if counts is None:      # before the first round: all pieces alike
             counts = np.ones((size + 1, len(langs)))
         p = counts / np.maximum(counts.sum(0, keepdims=True), 1e-300)
@@ -117,7 +160,7 @@ class Model:
     def likelihoods(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word in each language."""
         out = np.zeros((len(words), len(self.langs)))
-        for n, at, ids in _lattice(words, vocabulary(self.path), self.longest):
+        for n, at, ids in _lattice(words, trie(self.path), len(self.probs) - 2):
             out[at] = np.log(np.maximum(forward(ids, self.probs)[:, n], 1e-300))
         return out
 
@@ -125,7 +168,7 @@ class Model:
         """Expected uses of each piece in so many occurrences of the words."""
         p = self.probs[:, lang:lang + 1]
         total = np.zeros(len(self.probs))
-        for n, at, ids in _lattice(words, vocabulary(self.path), self.longest):
+        for n, at, ids in _lattice(words, trie(self.path), len(self.probs) - 2):
             a, b = forward(ids, p)[..., 0], backward(ids, p)[..., 0]
             scale = counts[at] / np.maximum(a[:, n], 1e-300)
             for j in range(n):

@@ -104,6 +104,25 @@ def test_forward_sums_all_segmentations():
                - sum(n * (len(w) + 1) for n, w in zip([1, 2, 3, 1, 1], words))) < 1e-6
 
 
+def test_lattice_holds_every_piece(monkeypatch):
+    """Piece ids against a look-up of every part of the words, over several blocks."""
+    monkeypatch.setattr(language, "BLOCK", 3)
+    vocab = language.vocabulary(PATH)
+    words = ["water", "a", "straße", "語言", "zzzzqq", "the", "not", "éa", "𝒳", "x" * 48, "water", "in"] + list(vocab)[:300]
+    words = [w.strip("▁") for w in words if w.strip("▁")]
+    seen, none = [], len(vocab) + 1
+    for n, at, ids in language._lattice(words, language.trie(PATH), len(vocab)):
+        for i, got in zip(at, ids):
+            w = "▁" + words[i]
+            assert len(w) == n and ids.shape[2] == min(n, max(map(len, vocab)))
+            seen.append(i)
+            for j in range(n):
+                for m in range(1, ids.shape[2] + 1):
+                    want = vocab.get(w[j:j + m], len(vocab) if m == 1 else none) if j + m <= n else none
+                    assert got[j, m - 1] == want, (w, j, m)
+    assert sorted(seen) == list(range(len(words)))
+
+
 def test_predicts_held_out_languages(spark):
     r = random.Random(2)
     words = {"en": "the house and with that this from have water light".split(),
