@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -65,6 +66,23 @@ def test_quantiles_are_exact(spark, keys):
     assert tidy(got) == tidy(want)
 
 
+def test_quantiles_round_as_the_sql_does(spark):
+    import duckdb
+    r = random.Random(5)
+    hour = lambda: r.randint(0, 23) + r.randint(0, 59) / 60.0 + r.randint(0, 59) / 3600.0     # noqa: E731
+    data = []
+    for g in range(2000):
+        same, n = hour(), r.randint(2, 6)
+        data += [(g, same if g % 2 else hour()) for _ in range(n)]
+    pdf = pd.DataFrame(data, columns=["g", "x"])
+    want = duckdb.sql("""select g, quantile_cont(x, 0.1), quantile_cont(x, 0.9), median(x) from pdf group by 1""")
+    got = quantiles(spark.createDataFrame(pdf), ["g"], "x", {"lo": 0.1, "hi": 0.9, "m": 0.5})
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    one = quantiles(spark.createDataFrame([(float("inf"),)] * 2 + [(1.0,)] * 2, "x double"), [], "x",
+                    {"lo": 0.1, "mid": 0.5, "hi": 0.9}).collect()
+    assert [tuple(x) for x in one] == [(1.0, float("inf"), float("inf"))]
+
+
 def test_only_crowded_keys_are_cut(spark, monkeypatch):
     monkeypatch.setattr(O, "LEAST", 16)
     df = spark.createDataFrame(_rows(), "k string, t long, i long, v long")
