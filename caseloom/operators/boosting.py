@@ -3,13 +3,14 @@
 Features are cut into at most ``BINS`` bins once. The training rows are packed into
 blocks of bounded size (bins as bytes, targets and predictions as whole numbers on a
 fixed grid) and kept in the shared folder. A tree grows level by level; each level is one
-pass over the blocks that returns sums and counts per (node, feature, bin), which are
-exact, so that the model does not depend on how the rows are partitioned. Every
+pass over the blocks: sums and counts per (node, feature, bin) are added up node by node
+in tasks, and the driver gets a node's best split. The sums are exact, so that the model
+does not depend on how the rows are partitioned. Every
 ``RENEW`` trees the predictions are written anew; between, passes add the latest trees.
 
 With ``levels`` the trees are grown on the summed gradients of the pinball losses, so all
 levels share one set of splits, and each leaf is refitted per level to the exact quantile
-of the residuals in it: two passes count them by their upper and then their lower half.
+of the residuals in it: passes count them by their upper bits, then by the next ones.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from ..functions.ship import ship
 from ..functions.staging import Kept
 
 BINS = 64
-BLOCK = 1 << 16         # rows packed together
+BLOCK = 1 << 14         # rows packed together
 RENEW = 10              # trees between two versions of the predictions
-DIRECT = 64             # partial sums of so many blocks are added without a shuffle
-HALF = 13               # bits of a residual that one pass tells apart
-SPAN = 1 << (2 * HALF - 2)      # grid steps between the least and the largest target
+DIRECT = 1              # counts of so many blocks are made in one task, without a shuffle
+FILES = 2               # files of blocks per core, at most
+BITS = 26               # bits of a residual
+DIGIT = 9               # of these one pass tells apart
+SPAN = 1 << (BITS - 2)  # grid steps between the least and the largest target
 
 _PACK = "block int, bins binary, y binary, f binary, key binary"
 
@@ -160,78 +163,110 @@ class _Rows:
         rows = df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
                                    for c in model.features]).alias("x"),
                          F.col(y).cast("double").alias("y"), F.xxhash64(key).alias("key"))
-        self.kept = Kept(rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(self.n_blocks)).cast("int"))
-                         .groupBy("block").applyInArrow(pack, _PACK))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(self.n_blocks)).cast("int"))
+        if self.n_blocks > 1:
+            # a file, and so a task, for every few blocks: small ones would be read by one task
+            rows = rows.repartitionByRange(min(self.n_blocks, FILES * df.sparkSession.sparkContext.defaultParallelism),
+                                           "block")
+        self.kept = Kept(rows.groupBy("block").applyInArrow(pack, _PACK))
         self.pending: list[Tree] = []
 
-    def counted(self, cells_of):
-        """Sums of (cell, sum, count) that ``cells_of(bins, y, f, key)`` gives per block."""
+    def told(self, shape: tuple, count, merge, schema: str) -> list:
+        """Rows that ``merge(node, counts)`` gives for every node with rows.
+
+        ``count(total, bins, y, f, key)`` adds a block to the counts of its task, one array by
+        node; the tasks' counts of a node meet in one task, so that the driver gets the merged
+        rows only, however many blocks there are.
+        """
         width, levels, pending = self.width, self.levels, list(self.pending)
+        direct, fields = self.n_blocks <= DIRECT, schema.replace(",", " ").split()
+        names, types = fields[::2], [{"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[t]
+                                     for t in fields[1::2]]
+
+        def rows(made):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], t)
+                                               for i, t in enumerate(types)], names=names)
 
         def run(batches):
+            total = np.zeros(shape, np.int64)
             for block in _blocks(batches, width, levels, pending):
-                cell, s = cells_of(*block)
-                at, where, n = np.unique(cell, return_inverse=True, return_counts=True)
-                total = np.zeros(len(at), np.int64)
-                if s is not None:
-                    np.add.at(total, where, s)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total),
-                                                  pa.array(n, pa.int64())], names=["cell", "s", "n"])
-        df = self.kept.df.mapInArrow(run, "cell bigint, s bigint, n bigint")
-        if self.n_blocks > DIRECT:
-            df = df.groupBy("cell").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        t = df.toArrow()
-        at, where = np.unique(t.column("cell").to_numpy(), return_inverse=True)
-        s, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        np.add.at(s, where, t.column("s").to_numpy())
-        np.add.at(n, where, t.column("n").to_numpy())
-        return at, s, n
-
-    def histogram(self, tree: Tree, number: int, first: int, count: int, weights):
-        """Gradient sums and row counts by (node, feature, bin) for one level of nodes."""
+                count(total, *block)
+            there = np.flatnonzero(total.reshape(shape[0], -1).any(1)).tolist()
+            if direct:
+                yield rows([r for i in there for r in merge(i, total[i])])
+                return
+            for i in there:
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()),
+                                                  pa.array([total[i].tobytes()], pa.binary())], names=["node", "data"])
+
+        def meet(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x, np.int64) for x in t.column("data").to_pylist())
+            return pa.Table.from_batches([rows(merge(t.column("node")[0].as_py(), total.reshape(shape[1:])))])
+        if direct:
+            df = self.kept.df.coalesce(1).mapInArrow(run, schema)
+        else:
+            df = self.kept.df.mapInArrow(run, "node int, data binary").groupBy("node").applyInArrow(meet, schema)
+        return df.toArrow().to_pylist()
+
+    def splits(self, tree: Tree, number: int, first: int, count: int, weights, leaf: int) -> list:
+        """Per node of one level with rows: its gradient sum and row count, its best split, and
+        the sum and count left of it."""
         width, share, seed = self.width, self.share, self.seed
 
-        def cells(bins, y, f, key):
+        def add(total, bins, y, f, key):
             use = in_sample(key, number, share, seed)
             bins, g = bins[use], gradient(y[use], f[use], weights)
             node = tree.leaves(bins) - first
             here = node >= 0
             bins, node, g = bins[here], node[here], g[here]
-            cell = (node[:, None] * width + np.arange(width)) * BINS + bins
-            return cell.ravel(), np.repeat(g, width)
-        at, s, n = self.counted(cells)
-        total, size = (np.zeros(count * width * BINS, np.int64) for _ in range(2))
-        total[at], size[at] = s, n
-        return total.reshape(count, width, BINS), size.reshape(count, width, BINS)
+            cell = ((node[:, None] * width + np.arange(width)) * BINS + bins).ravel()
+            size = count * width * BINS
+            # whole numbers well below 2 ** 53: exact as doubles, too
+            total[:, 0] += np.bincount(cell, np.repeat(g, width), size).astype(np.int64).reshape(count, width, BINS)
+            total[:, 1] += np.bincount(cell, minlength=size).reshape(count, width, BINS)
+
+        def best(node, t):
+            s, n = t
+            gain, feature, cut = (x[0].item() for x in best_splits(s[None], n[None], leaf))
+            left = feature, slice(0, cut + 1)
+            return [(node, gain, feature, cut, *(int(x) for x in (s[left].sum(), n[left].sum(), s[0].sum(), n[0].sum())))]
+        return self.told((count, 2, width, BINS), add, best, "node int, gain double, feature int, cut int, "
+                         "left_s bigint, left_n bigint, s bigint, n bigint")
 
     def quantiles(self, tree: Tree, number: int, levels: Sequence[float]) -> np.ndarray:
-        """Exact residual quantile per node and level: the value of rank ceil(level * n)."""
+        """Exact residual quantile per node and level: the value of rank ceil(level * n).
+
+        Residuals are told apart by their upper bits first, then among those that share them.
+        """
         share, seed, k = self.share, self.seed, len(levels)
         nodes = len(tree.feature)
-        top = np.full((nodes, k), -1)
+        top, want = np.zeros((nodes, k), np.int64), np.zeros((nodes, k), np.int64)
+        known = np.zeros(nodes, bool)
+        for shift in range((BITS - 1) // DIGIT * DIGIT, -1, -DIGIT):
+            first = shift + DIGIT >= BITS
 
-        def cells(upper):
-            def run(bins, y, f, key):
+            def add(total, bins, y, f, key, shift=shift, top=top, first=first):
                 use = in_sample(key, number, share, seed) if number else np.ones(len(y), bool)
-                r = np.clip(y[use, None] - f[use] + 2 * SPAN, 0, 4 * SPAN - 1)
-                group = tree.leaves(bins[use])[:, None] * k + np.arange(k)
-                if upper is None:
-                    return ((group << HALF) + (r >> HALF)).ravel(), None
-                there = upper.ravel()[group] == (r >> HALF)
-                return ((group << HALF) + (r & ((1 << HALF) - 1)))[there], None
-            return run
-        at, _, n = self.counted(cells(None))
-        want, low = {}, np.zeros((nodes, k), np.int64)
-        for g, (digit, size) in _grouped(at, n):
-            below = np.cumsum(size)
-            rank = max(1, math.ceil(levels[g % k] * below[-1] - 1e-9))
-            i = int(np.searchsorted(below, rank))
-            top[g // k, g % k] = digit[i]
-            want[g] = rank - (below[i - 1] if i else 0)
-        at, _, n = self.counted(cells(top))
-        for g, (digit, size) in _grouped(at, n):
-            low[g // k, g % k] = digit[int(np.searchsorted(np.cumsum(size), want[g]))]
-        return np.where(top >= 0, (top << HALF) + low - 2 * SPAN, 0)
+                r = np.clip(y[use, None] - f[use] + 2 * SPAN, 0, 4 * SPAN - 1) >> shift
+                node = tree.leaves(bins[use])
+                cell = ((node[:, None] * k + np.arange(k)) << DIGIT) + (r & ((1 << DIGIT) - 1))
+                cell = cell.ravel() if first else cell[(r >> DIGIT) == top[node]]
+                total += np.bincount(cell, minlength=total.size).reshape(total.shape)
+
+            def pick(node, n, want=want, first=first):
+                out = []
+                for i, size in enumerate(n):
+                    below = np.cumsum(size)
+                    rank = max(1, math.ceil(levels[i] * int(below[-1]) - 1e-9)) if first else int(want[node, i])
+                    at = int(np.searchsorted(below, rank))
+                    out.append((node, i, at, rank - int(below[at - 1] if at else 0)))
+                return out
+            top, want = top << DIGIT, want.copy()
+            for r in self.told((nodes, k, 1 << DIGIT), add, pick, "node int, level int, digit int, rest bigint"):
+                top[r["node"], r["level"]] += r["digit"]
+                want[r["node"], r["level"]] = r["rest"]
+                known[r["node"]] = True
+        return np.where(known[:, None], top - 2 * SPAN, 0)
 
     def add(self, tree: Tree):
         self.pending.append(tree)
@@ -247,15 +282,6 @@ class _Rows:
         self.pending = []
 
 
-def _grouped(cells: np.ndarray, n: np.ndarray):
-    """(group, (digits, counts)) of sorted cells."""
-    group = cells >> HALF
-    cut = np.flatnonzero(np.diff(group)) + 1
-    for g, d, c in zip(np.split(group, cut), np.split(cells & ((1 << HALF) - 1), cut), np.split(n, cut)):
-        if len(g):
-            yield int(g[0]), (d, c)
-
-
 def edges(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
     """Cuts of each feature at its quantiles: at most ``bins`` - 1 of them."""
     probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
@@ -297,20 +323,20 @@ def fit(df: DataFrame, features: Sequence[str], y: str, key: str, trees: int, de
         t = Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros((size, k), np.int64))
         for d in range(depth):
             first, count = (1 << d) - 1, 1 << d
-            total, n_rows = rows.histogram(t, number, first, count, weights)
-            gain, feature, cut = best_splits(total, n_rows, leaf)
-            open_ = np.flatnonzero(gain > 0)
-            if not levels and d == 0:
-                t.value[0] = _mean(total[0, 0].sum(), n_rows[0, 0].sum(), rate)
-            for i in open_.tolist():
-                at = first + i
-                t.feature[at], t.cut[at] = feature[i], cut[i]
-                model.gains[feature[i]] += gain[i]
+            grown = False
+            for r in sorted(rows.splits(t, number, first, count, weights, leaf), key=lambda r: r["node"]):
+                at = first + r["node"]
+                if not levels and d == 0:
+                    t.value[0] = _mean(r["s"], r["n"], rate)
+                if not r["gain"] > 0:
+                    continue
+                grown = True
+                t.feature[at], t.cut[at] = r["feature"], r["cut"]
+                model.gains[r["feature"]] += r["gain"]
                 if not levels:
-                    left = slice(0, cut[i] + 1), slice(cut[i] + 1, None)
-                    for child, s in zip((2 * at + 1, 2 * at + 2), left):
-                        t.value[child] = _mean(total[i, feature[i], s].sum(), n_rows[i, feature[i], s].sum(), rate)
-            if not len(open_):
+                    t.value[2 * at + 1] = _mean(r["left_s"], r["left_n"], rate)
+                    t.value[2 * at + 2] = _mean(r["s"] - r["left_s"], r["n"] - r["left_n"], rate)
+            if not grown:
                 break
         if levels:
             t.value = np.rint(rate * rows.quantiles(t, number, levels)).astype(np.int64)

@@ -104,6 +104,23 @@ def test_levels_rise_and_beat_a_constant(spark):
     assert pinball(v) < 0.8 * pinball(np.quantile(y[:1000], levels)[None, :])
 
 
+def test_driver_gets_splits_and_quantiles_only(spark, monkeypatch):
+    """What a pass returns does not grow with the rows, and the blocks lie in several tasks."""
+    monkeypatch.setattr(B, "BLOCK", 100)
+    got, tasks, told = [], [], B._Rows.told
+
+    def noted(self, *args):
+        out = told(self, *args)
+        got.append(len(out))
+        tasks.append((self.n_blocks, len(self.kept.df.inputFiles())))
+        return out
+    monkeypatch.setattr(B._Rows, "told", noted)
+    x, y = data(3, 1200)
+    B.fit(frame(spark, x, y), FEATURES, "y", "id", 2, 3, 0.1, 0.8, 5, [0.1, 0.5, 0.9])
+    assert max(got) <= 8 * 3
+    assert {t[0] for t in tasks} == {12} and min(t[1] for t in tasks) >= 4
+
+
 def test_odd_rows(spark):
     schema = "id long, a double, b double, c double, y double"
     assert not B.fit(spark.createDataFrame([], schema), FEATURES, "y", "id", 3, 2, 0.1, 1.0, 1).trees
