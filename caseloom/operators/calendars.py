@@ -16,6 +16,7 @@ from pyspark.sql import Window
 from ..functions.columns import col, fractional_hour, monday_dow, ratio, seconds_between
 from ..functions.ordered import along, following, nth, total_upto
 from ..functions.quantiles import quantiles
+from ..functions.staging import staged
 from .shape import ntz
 
 # Defaults of the calendar model.
@@ -112,16 +113,38 @@ SWEEP = (("min / max", 0.0, 1.0), ("q05 / q95", 0.05, 0.95), ("q10 / q90", 0.10,
 
 def window_sweep(work: DataFrame, p: DataFrame,
                  min_active_days: int = MIN_ACTIVE_DAYS) -> DataFrame:
-    """Coverage and utilisation per window definition and for one global 9-17 window."""
-    out = None
-    for name, lo, hi in SWEEP:
-        w = fit_weekly(p, min_active_days, start_q=lo, end_q=hi)
-        row = evaluate_weekly(w, work, p).withColumn("window", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    base = fit_weekly(p, min_active_days).withColumns(
-        {"open_h": F.lit(9.0), "close_h": F.lit(17.0)})
-    row = evaluate_weekly(base, work, p).withColumn("window", F.lit("global 9-17"))
-    return out.unionByName(row).drop("resources_modelled")
+    """Coverage and utilisation per window definition and for one global 9-17 window.
+
+    All definitions are fitted in one pass over the presence and read in one join with the
+    events; the global window holds wherever the default definition has one.
+    """
+    keys, names = ["resource", "dow"], [n for n, _, _ in SWEEP] + ["global 9-17"]
+    pairs = [(lo, hi) for _, lo, hi in SWEEP] + [(START_Q, END_Q)]
+    p = staged(p)
+    days = p.groupBy("resource").agg(F.count(F.lit(1)).alias("__days")).filter(
+        F.col("__days") >= min_active_days)
+    dense = p.join(days.select("resource"), "resource", "left_semi")
+    w = quantiles(dense, keys, "first", {f"__o{i}": lo for i, (lo, _) in enumerate(pairs)}).join(
+        quantiles(dense, keys, "last", {f"__c{i}": hi for i, (_, hi) in enumerate(pairs)}), keys)
+    fitted = [F.col(f"__c{i}") > F.col(f"__o{i}") for i in range(len(pairs))]
+    ends = [(F.col(f"__o{i}"), F.col(f"__c{i}")) for i in range(len(pairs) - 1)] + [(F.lit(9.0), F.lit(17.0))]
+    # bounds are null where a definition has no window
+    w = staged(w.select(*keys, *[F.when(f, x).alias(f"__{t}{i}") for i, (f, e) in enumerate(zip(fitted, ends))
+                                 for t, x in zip("oc", e)]))
+    h = F.col("__h")
+    ev = work.select("resource", monday_dow("timestamp").alias("dow"), fractional_hour("timestamp").alias("__h"))
+    cover = ev.join(w, keys).agg(*[F.avg(((F.col(f"__o{i}") <= h) & (h <= F.col(f"__c{i}"))).cast("double"))
+                                   .alias(f"__v{i}") for i in range(len(names))])
+    seen = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum("span").alias("__s"))
+    use = w.join(seen, keys).agg(*[F.coalesce(ratio(
+        F.sum(F.when(F.col(f"__o{i}").isNotNull(), F.col("__s"))),
+        F.sum((F.col(f"__c{i}") - F.col(f"__o{i}")) * F.col("__n"))), F.lit(0.0)).alias(f"__u{i}")
+        for i in range(len(names))])
+    # one row each
+    rows = cover.crossJoin(use).select(F.explode(F.array(*[F.struct(
+        F.col(f"__v{i}").alias("coverage"), F.col(f"__u{i}").alias("window_utilisation"),
+        F.lit(n).alias("window")) for i, n in enumerate(names)])).alias("r"))
+    return rows.select("r.*")
 
 
 def weekday_headcount(p: DataFrame) -> DataFrame:
