@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import staged
 from .base import query, table
-from .texts import Memo, arrow_map, by_bytes, with_columns
+from .texts import FORGET, Memo, arrow_map, by_bytes, with_columns
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents a language is learned from, at most (about: chosen by hash).
@@ -237,6 +237,9 @@ class Scorer:
 _SCORERS: dict = {}
 
 
+FORGET += [_SCORERS.clear, vocabulary.cache_clear, trie.cache_clear]
+
+
 def scorer(model: Model) -> Scorer:
     """The scorer of a model in this worker process: its words serve later tasks, too."""
     key = (model.path, tuple(model.langs), hashlib.sha256(model.probs.tobytes()).digest())

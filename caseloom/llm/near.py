@@ -28,7 +28,7 @@ from ..functions.ship import ship
 from ..functions.staging import staged
 from .base import WORD, fresh, query, table
 from .substrings import Hasher, mix
-from .texts import arrow_map, by_bytes, whole_groups
+from .texts import arrow_map, by_bytes, forget, whole_groups
 
 SHINGLE = 5
 THRESHOLD = "4/5"
@@ -181,6 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _sketch(keep: int, names: list[str], schema: pa.Schema):
     def run(batches):
+        forget()
         hasher = Hasher()
         for b in by_bytes(batches, "__text"):
             cls, size, sig = [], [], []

@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.ship import ship
 from ..functions.staging import staged
 from .base import WORD, partitions, query, table
-from .texts import arrow_map, by_bytes
+from .texts import arrow_map, by_bytes, cogrouped, forget, grouped
 
 WINDOW = 50
 BATCH = 6 << 20         # bytes of text hashed together
@@ -156,6 +156,7 @@ def _unwrap(packets: list, schema: pa.Schema) -> pa.Table:
 
 def _bundle(batches):
     """Rows of a batch that go to one chunk, as one packet."""
+    forget()
     for b in by_bytes(batches, "__text", BATCH):
         t = pa.Table.from_batches([b])
         rows = [(0, c, len(at), _wrap(t.take(pa.array(at)))) for c, (at,) in
@@ -177,6 +178,7 @@ def _packets(rows) -> pa.RecordBatch:
 def _probe(buckets: int, chunks: int, block: int):
     """Per batch: probes for each bucket; hits among the batch's own documents."""
     def run(batches):
+        forget()
         hasher = Hasher()
         for b in by_bytes(batches, "__text", BATCH):
             ids, found, owner, aligned = [], [], [], []
@@ -429,7 +431,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         F.col(text).alias("__text"),
         F.coalesce(F.pmod(number, F.lit(chunks)), F.lit(0)).cast("int").alias("chunk"))
     probes = arrow_map(rows.select("__id", "__text"), _probe(buckets, chunks, block), _PACKET)
-    hits = probes.groupBy("bucket").applyInArrow(_meet(chunks), _PACKET)
+    hits = probes.groupBy("bucket").applyInArrow(grouped(_meet(chunks)), _PACKET)
     own = [T.StructField(i, docs.schema[c].dataType) for c, i in zip(names, inner)]
     mid = T.StructType(own + T.StructType.fromDDL(
         "kind int, chunk int, bucket int, n bigint, data binary, n_words bigint, "
@@ -440,12 +442,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     held = inside.append(pa.field("n_words", pa.int64())).append(pa.field("local", pa.binary()))
     first = staged(arrow_map(rows, _bundle, _PACKET).groupBy("chunk")
                    .cogroup(hits.groupBy("chunk")).applyInArrow(
-        _extend(buckets, window, block, digest, inner, inside, to_arrow_schema(mid)), mid))
+        cogrouped(_extend(buckets, window, block, digest, inner, inside, to_arrow_schema(mid))), mid))
     told = (first.filter("kind = 2").select("bucket", "chunk", "n", "data")
-            .groupBy("bucket").applyInArrow(_smallest, _PACKET))
+            .groupBy("bucket").applyInArrow(grouped(_smallest), _PACKET))
     rest = (first.filter("kind = 1").select("chunk", "data").groupBy("chunk")
             .cogroup(told.groupBy("chunk"))
-            .applyInArrow(_cut(window, digest, inner, held, to_arrow_schema(out)), out))
+            .applyInArrow(cogrouped(_cut(window, digest, inner, held, to_arrow_schema(out))), out))
     done = first.filter("kind = 0").select(*inner, "n_words", "n_removed", "kept")
     return done.unionByName(rest).select(
         *[F.col(i).alias(c) for c, i in zip(names, inner)], "n_words", "n_removed", "kept")

@@ -56,15 +56,48 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int)
         yield pa.Table.from_batches(held)
 
 
+#: What clears the things a module keeps in a worker process from task to task.
+FORGET: list[Callable[[], None]] = []
+
+
+def forget():
+    """Drop what earlier stages keep in this worker process: it serves all stages of a pipeline."""
+    for clear in FORGET:
+        clear()
+
+
+def give_back():
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):       # a C library without it
+        pass
+
+
 def _given_back(fn):
     """``fn`` that ends by giving free memory back: a worker process serves many tasks."""
     def run(batches):
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):       # a C library without it
-            pass
+        give_back()
+    return run
+
+
+def grouped(fn):
+    """``fn`` of ``applyInArrow`` that gives free memory back after each group."""
+    def run(t: pa.Table) -> pa.Table:
+        out = fn(t)
+        give_back()
+        return out
+    return run
+
+
+def cogrouped(fn):
+    """The same for two tables."""
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = fn(a, b)
+        give_back()
+        return out
     return run
 
 

@@ -103,3 +103,14 @@ def test_stages_keep_columns_of_any_name(spark, corpus):
         assert docs.columns == columns, name
         assert all(x[c] == f"{c}{x.doc_id}" for x in docs.collect() for c in extra), name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, corpus).count()
+
+
+def test_later_stages_drop_what_a_worker_keeps():
+    """The language stage's words and tables do not stay while repeats are looked for."""
+    from caseloom.llm import language, near, substrings
+    for begin in (lambda: list(substrings._bundle([])), lambda: list(substrings._probe(1, 2, 25)([])),
+                  lambda: list(near._sketch(0, [], None)([]))):
+        language._SCORERS["model"] = object()
+        language.trie(language.public_tokenizers.path(language.VOCABULARY))
+        begin()
+        assert not language._SCORERS and not language.trie.cache_info().currsize
