@@ -22,6 +22,12 @@ LINKAGE = {"complete": lambda: F.max("d"), "single": lambda: F.min("d"),
            "average": lambda: F.sum(F.col("d") * F.col("n")) / F.sum("n")}
 
 
+def _small(spark, pairs: dict, a: str, b: str, kind: pa.DataType) -> DataFrame:
+    """Names and values from the driver, as Arrow: no Python worker makes the rows."""
+    return spark.createDataFrame(pa.table({a: pa.array(list(pairs), pa.string()),
+                                           b: pa.array(list(pairs.values()), kind)}))
+
+
 def hierarchical(vectors: DataFrame, k: int, key: str = "resource", linkage: str = "complete") -> DataFrame:
     """grp, key: ``k`` disjoint groups by merging the nearest ones (Euclidean distance).
 
@@ -39,16 +45,17 @@ def hierarchical(vectors: DataFrame, k: int, key: str = "resource", linkage: str
         F.col(key).alias("a"), F.col("peer").alias("b"), F.col("score").alias("d"), F.lit(1).alias("n")))
     merges, number = [], 0      # (height, round, stays, goes): one per vector at most
     while True:
-        low = pairs.df.agg(F.min("d")).first()[0]
-        if low is None or sum(m[0] < low for m in merges) >= wanted:
-            break
-        number += 1
         ends = pairs.df.select("a", "b", "d").union(pairs.df.select(F.col("b"), F.col("a"), "d"))
         first = ends.groupBy("a").agg(F.min(F.struct(
             "d", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))).alias("m")).select("m.*")
-        joined = staged(first.groupBy("d", "x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c = 2"))
-        merges += [(r.d, number, r.x, r.y) for r in joined.collect()]
-        goes = joined.select(F.col("y").alias("was"), F.col("x").alias("now"))
+        # the nearest two of all are always among them
+        joined = first.groupBy("d", "x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c = 2").collect()
+        low = min((r.d for r in joined), default=None)
+        if low is None or sum(m[0] < low for m in merges) >= wanted:
+            break
+        number += 1
+        merges += [(r.d, number, r.x, r.y) for r in joined]
+        goes = _small(spark, {r.y: r.x for r in joined}, "was", "now", pa.string())
         moved = pairs.df.join(goes.withColumnsRenamed({"was": "a", "now": "na"}), "a", "left") \
             .join(goes.withColumnsRenamed({"was": "b", "now": "nb"}), "b", "left") \
             .withColumns({"x": F.coalesce("na", "a"), "y": F.coalesce("nb", "b")}).filter("x <> y")
@@ -61,11 +68,11 @@ def hierarchical(vectors: DataFrame, k: int, key: str = "resource", linkage: str
         while x in up:
             x = up[x]
         return x
-    moved = spark.createDataFrame([(x, root(x)) for x in up], "key string, first string")
+    moved = _small(spark, {x: root(x) for x in up}, "key", "first", pa.string())
     told = names.join(F.broadcast(moved), "key", "left").withColumn("first", F.coalesce("first", "key"))
     order = staged(told.select("first").distinct())     # k rows
     rank = {r["first"]: i for i, r in enumerate(order.orderBy("first").collect())}
-    number = spark.createDataFrame(list(rank.items()), "first string, grp int")
+    number = _small(spark, rank, "first", "grp", pa.int32())
     return told.join(F.broadcast(number), "first").select("grp", F.col("key").alias(key))
 
 
@@ -77,8 +84,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _batches(batches):
     for b in batches:
         if b.num_rows:
-            yield (b.column("key").to_pylist(), np.array(b.column("vec").to_pylist(), float),
-                   b.column("weight").to_numpy().astype(float))
+            x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float)
+            yield b.column("key"), x.reshape(b.num_rows, -1), b.column("weight").to_numpy().astype(float)
 
 
 def _gap(x: np.ndarray, centres: np.ndarray, spherical: bool) -> np.ndarray:
@@ -101,7 +108,7 @@ def farthest(v: DataFrame, first: list[np.ndarray], k: int, spherical: bool) ->
                 for r, c in enumerate(centres):
                     d = np.round(_gap(x, c, spherical).min(1), 9)
                     for i in np.flatnonzero(d == d.max()):
-                        cand = (-d[i], keys[i])
+                        cand = (-d[i], keys[i].as_py())
                         if r not in best or cand < best[r][0]:
                             best[r] = (cand, x[i])
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +206,7 @@ def spherical(vectors: DataFrame, k: int, key: str, weight: str | None = None, r
     def run(batches):
         for keys, x, _w in _batches(batches):
             u, _ = _memberships(x, centres, True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(u.argmax(1), pa.int32())],
+            yield pa.RecordBatch.from_arrays([keys, pa.array(u.argmax(1), pa.int32())],
                                              names=[key, "cluster"])
     return v.mapInArrow(run, f"`{key}` string, cluster int")
 
@@ -225,6 +232,6 @@ def overlapping(vectors: DataFrame, k: int, key: str = "resource", restarts: int
             u = np.round(_memberships(x, centres, False)[0], 9)
             i, g = np.nonzero((u >= least) | (np.arange(u.shape[1]) == u.argmax(1)[:, None]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g, pa.int32()), pa.array([keys[x] for x in i], pa.string()), pa.array(u[i, g])],
+                [pa.array(g, pa.int32()), keys.take(pa.array(i)), pa.array(u[i, g])],
                 names=["grp", key, "share"])
     return v.mapInArrow(run, f"grp int, `{key}` string, share double")

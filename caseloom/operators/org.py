@@ -108,10 +108,28 @@ def resource_log(df: DataFrame, contexts: str = "activity", attribute: str | Non
                     "resource", "case_id")
 
 
+def counted_forms(df: DataFrame, attribute: str, clusters: DataFrame) -> dict[str, DataFrame]:
+    """``context_counts`` of all three forms of contexts, the events read once.
+
+    Counts per attribute, cluster, activity and weekday are kept; each form adds them up.
+    """
+    e = df.filter(F.col("resource").isNotNull()).join(
+        clusters.select("case_id", F.col("cluster").alias("__c")), "case_id", "left")
+    fine = staged(e.groupBy(F.col(attribute).alias("__a"), "__c", "activity", F.weekday("timestamp").alias("__d"),
+                            "resource").agg(F.count(F.lit(1)).alias("n")))
+    fine = fine.withColumns({"activity_type": F.concat(F.lit("AT."), "activity"), "time_type": F.get(
+        F.array(*[F.lit(t) for t in TIME_TYPES]), F.col("__d"))})
+    none = F.lit("")
+    return {"activity": context_counts(fine.withColumns({"case_type": none, "time_type": none})),
+            **{f: context_counts(fine.filter(rows).withColumn("case_type", F.concat(F.lit("CT."), F.col(c).cast("string"))))
+               for f, c, rows in (("attribute", "__a", F.lit(True)),
+                                  ("clusters", "__c", F.col("__c").isNotNull()))}}
+
+
 def case_profiles(df: DataFrame) -> DataFrame:
     """case_id, activity, weight: TF-IDF weights with unit length per case."""
-    n = total(df, F.countDistinct("case_id"))
-    tf = df.groupBy("case_id", "activity").agg(F.count(F.lit(1)).alias("tf"))
+    tf = staged(df.groupBy("case_id", "activity").agg(F.count(F.lit(1)).alias("tf")))
+    n = total(tf, F.countDistinct("case_id"))
     idf = tf.groupBy("activity").agg(F.count(F.lit(1)).alias("d")).select(
         "activity", (F.log((n + 1.0) / (F.col("d") + 1.0)) + 1.0).alias("idf"))
     w = tf.join(sized(idf), "activity").withColumn("w", F.col("tf") * F.col("idf"))
@@ -154,10 +172,15 @@ def overlapping_groups(rl: DataFrame, n_groups: int = 10, restarts: int = 3) ->
     return clusters.overlapping(v, n_groups, "resource", restarts)
 
 
+def _events(rl: DataFrame):
+    """Events of a resource log; rows with ``n`` (``context_counts``) stand for so many."""
+    return F.sum("n") if "n" in rl.columns else F.count(F.lit(1))
+
+
 def resource_profiles(rl: DataFrame) -> DataFrame:
     """resource, context, weight = ln(1 + events)."""
     return rl.groupBy("resource", F.concat_ws("|", *CTX).alias("context")).agg(
-        F.log1p(F.count(F.lit(1)).cast("double")).alias("weight"))
+        F.log1p(_events(rl).cast("double")).alias("weight"))
 
 
 def discover_groups(rl: DataFrame, n_groups: int = 10, seed: int = 42) -> DataFrame:
@@ -169,7 +192,8 @@ def discover_groups(rl: DataFrame, n_groups: int = 10, seed: int = 42) -> DataFr
 
 
 def context_counts(rl: DataFrame) -> DataFrame:
-    return rl.groupBy(*CTX, "resource").agg(F.count(F.lit(1)).alias("n"))
+    """Contexts, resource, n: a resource log in which equal rows are one."""
+    return rl.groupBy(*CTX, "resource").agg(_events(rl).alias("n"))
 
 
 def _profiles(members: DataFrame) -> DataFrame:
@@ -553,8 +577,8 @@ def sweep(logs: dict[str, DataFrame], groups: dict[tuple[str, str], DataFrame],
           known: Sequence[str] = KNOWN_AT_START) -> DataFrame:
     """One row per (contexts, discovery, profiling): sizes, conformance and choices.
 
-    ``logs`` holds a resource log per form of contexts, ``groups`` the members (grp,
-    resource) per form and discovery. The counts of all forms are one table with the form
+    ``logs`` holds a resource log (or its ``context_counts``) per form of contexts, ``groups``
+    the members (grp, resource) per form and discovery. The counts of all forms are one table with the form
     as a part of its contexts, so all models, with the 81 thresholds of the overall score,
     are measured in one plan. Of equal scores the first thresholds win; without any model
     left the overall score falls back to full recall. ``best`` marks the row of the largest

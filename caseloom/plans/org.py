@@ -447,11 +447,9 @@ def o21(spark, d):
 @query("O21_full_sweep")
 def o21b(spark, d):
     """Three forms of contexts, two discoveries, two profilings: twelve models."""
-    log = staged(el(spark, d))
-    logs = {"activity": org.resource_log(log, "activity"),
-            "attribute": org.resource_log(log, "attribute", "goal"),
-            "clusters": org.resource_log(log, "clusters", clusters=staged(org.profile_clusters(log, 10)))}
-    logs = {f: staged(rl) for f, rl in logs.items()}
+    log = el(spark, d)
+    forms = org.counted_forms(log, "goal", staged(org.profile_clusters(log, 10)))
+    logs = {f: staged(rl) for f, rl in forms.items()}
     groups = {(f, how): staged(find(rl, 10)) for f, rl in logs.items() for how, find in (
         ("hierarchical", org.hierarchical_groups), ("overlapping", org.overlapping_groups))}
     return rounded(org.sweep(logs, groups))

@@ -1,7 +1,10 @@
 """Clusterings and the model sweep against brute force."""
 
+from datetime import timedelta
+
 import numpy as np
 import pytest
+from helpers import BASE, frame
 from pyspark.sql import functions as F
 
 from caseloom.operators import clusters, fit, org
@@ -115,6 +118,27 @@ def test_sweep_equals_one_model_at_a_time(spark):
     assert max(got.values(), key=lambda x: x.f1).best
 
 
+def test_counts_stand_for_the_events_of_a_log(spark):
+    r = np.random.default_rng(8)
+    rows = [(str(i % 9) if i % 13 else None, "abc"[r.integers(3)], f"r{r.integers(6)}" if i % 11 else None,
+             "xy"[r.integers(2)] if i % 7 else None, BASE + timedelta(hours=int(r.integers(400))), i) for i in range(500)]
+    df = frame(spark, rows, "case_id string, activity string, resource string, goal string, "
+                            "timestamp timestamp_ntz, event_order long")
+    told = spark.createDataFrame([(str(i), i % 2) for i in range(8)], "case_id string, cluster int")
+    logs = {"activity": org.resource_log(df, "activity"), "attribute": org.resource_log(df, "attribute", "goal"),
+            "clusters": org.resource_log(df, "clusters", clusters=told)}
+
+    def told_rows(x, *cols):
+        return sorted(map(str, x.select(*cols).collect()))
+    forms = org.counted_forms(df, "goal", told)
+    for f, rl in logs.items():
+        want = org.context_counts(rl)
+        assert told_rows(forms[f], *want.columns) == told_rows(want, *want.columns)
+        assert told_rows(org.resource_profiles(forms[f]), "resource", "context", "weight") == \
+            told_rows(org.resource_profiles(rl), "resource", "context", "weight")
+        assert told_rows(org.context_counts(forms[f]), *want.columns) == told_rows(want, *want.columns)
+
+
 def test_exact_tail_counts_all_orders(spark):
     from itertools import combinations
     for m, n in ((3, 4), (5, 5), (1, 6)):
