@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.staging import staged
 
 FIT = ("struct<distribution:string,params:array<double>,mean_s:double,std_s:double,"
        "n:bigint,zero_prob:double,p99_s:double,overall_mean_s:double>")
@@ -29,11 +32,12 @@ ORG_MODEL = ("kind string, groups array<struct<members:array<string>,"
 STATIC = "kind string, permissions map<string,array<string>>"
 
 
-def nested(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Fold a long table (keys..., value) into one row with one nested map column."""
+def nested(df: DataFrame, keys: list[str], value: str, name: str, kept: int = 0) -> DataFrame:
+    """Fold a long table (keys..., value) into one row with one nested map column, or one
+    row for each value of the first ``kept`` keys."""
     left = list(keys)
     cur = df.select(*left, F.col(value).alias("__v"))
-    while left:
+    while len(left) > kept:
         k = left.pop()
         entry = F.struct(F.col(k).cast("string").alias("k"), F.col("__v").alias("v"))
         cur = cur.groupBy(*left).agg(
@@ -46,8 +50,8 @@ def _by_key(a, b):
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Write one-row documents as JSON."""
-    df.write.mode("overwrite").json(path)
+    """Write documents as JSON, each row in a file of its own."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def _doc(spark, path, schema):
@@ -148,7 +152,8 @@ def lifecycle_parameters(document: DataFrame) -> DataFrame:
 
 
 def read_calendar(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A fitted calendar as the tables windows, holidays, vacations, system."""
+    """A fitted calendar, of one document or of many, as the tables windows, holidays,
+    vacations, system."""
     doc = _doc(spark, path, CALENDAR)
     w = (doc.select(F.explode("windows").alias("resource", "m"), "p_work")
          .select("resource", F.explode("m").alias("d", "w"), "p_work"))
@@ -164,20 +169,46 @@ def read_calendar(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+PART = 2048     # resources in one calendar document, about
+
+
 def calendar_document(windows: DataFrame, holidays: DataFrame, vacations: DataFrame,
                       system: DataFrame) -> DataFrame:
-    """The calendar tables as one JSON-ready row."""
-    win = nested(windows.select("resource", "dow", F.array("open_h", "close_h").alias("w")),
-                 ["resource", "dow"], "w", "windows")
-    pw = nested(windows, ["resource", "dow"], "p_work", "p_work")
+    """The calendar tables as JSON-ready rows of some ``PART`` resources each.
+
+    Few resources make one row. More are dealt by a hash of their names, so that no task
+    holds the calendar of all; the first row has the holidays. ``write_json`` writes a
+    document a row and ``read_calendar`` reads them all.
+    """
+    names = [df.select("resource") for df in (windows, vacations, system)]
+    n = names[0].union(names[1]).union(names[2]).agg(F.countDistinct("resource").alias("n")).select(
+        F.greatest(F.lit(1), F.ceil(F.col("n") / PART)).cast("int").alias("n"))
+    n = staged(n).scalar()
+
+    def dealt(df):
+        return df.withColumn("__part", F.pmod(F.hash("resource"), n))
+
+    def folded(df, value, name):
+        return nested(dealt(df), ["__part", "resource", "dow"], value, name, 1)
+    win = folded(windows.select("resource", "dow", F.array("open_h", "close_h").alias("w")), "w", "windows")
+    pw = folded(windows.select("resource", "dow", "p_work"), "p_work", "p_work")
     vac = vacations.groupBy("resource").agg(
         F.sort_array(F.collect_set(F.col("date").cast("string"))).alias("d"))
-    return win.select(
-        "windows", pw.scalar().alias("p_work"),
-        holidays.agg(F.sort_array(F.collect_set(F.col("date").cast("string"))))
-        .scalar().alias("holidays"),
-        nested(vac, ["resource"], "d", "v").scalar().alias("vacations"),
-        system.agg(F.sort_array(F.collect_set("resource"))).scalar().alias("system"))
+    vac = nested(dealt(vac), ["__part", "resource"], "d", "vacations", 1)
+    sys = dealt(system).groupBy("__part").agg(F.sort_array(F.collect_set("resource")).alias("system"))
+    days = holidays.agg(F.sort_array(F.collect_set(F.col("date").cast("string")))).scalar()
+    parts = windows.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), n - 1)).alias("__part"))
+    for df in (win, pw, vac, sys):
+        parts = parts.join(df, "__part", "left")
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(CALENDAR).fields}
+
+    def or_none(c):
+        return F.coalesce(c, F.create_map().cast(kinds[c]) if isinstance(kinds[c], T.MapType)
+                          else F.array().cast(kinds[c])).alias(c)
+    return parts.select(
+        or_none("windows"), or_none("p_work"),
+        F.when(F.col("__part") == 0, days).otherwise(F.array().cast("array<string>")).alias("holidays"),
+        or_none("vacations"), or_none("system"))
 
 
 def read_org_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
