@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.columns import col, fractional_hour, monday_dow, ratio, seconds_between
-from ..functions.ordered import along, following, nth, total_upto
+from ..functions.ordered import along, following, nth, settled, total_upto
 from ..functions.quantiles import quantiles
 from ..functions.staging import staged
 from .shape import ntz
@@ -357,25 +357,42 @@ def dst_probe(df: DataFrame, zone: str = "Europe/Amsterdam") -> DataFrame:
     return out.withColumn("shift", F.abs(F.col("winter") - F.col("summer")))
 
 
+# Fixed value: rows of the presence that one task of the A/B-week test orders, about.
+PARITY_ROWS = 1 << 19
+
+
 def parity_test(p: DataFrame, min_days: int = 40, min_side: int = 5, seed: int = 0) -> DataFrame:
     """A/B-week test: median shift of the first hour between odd and even ISO weeks,
-    against a split by a hash of the row. One row per split."""
-    days = p.groupBy("resource").agg(F.count(F.lit(1)).alias("__d")).filter(
-        F.col("__d") >= min_days).select("resource")
-    q = p.join(days, "resource", "left_semi")
+    against a split by a hash of the row. One row per split.
+
+    The presence is shuffled once, by resource (a row a day: no more than the calendar has),
+    into as many parts as its rows need, and ordered there; the days of a resource are added
+    up from its cells.
+    """
+    p = settled(p.select("resource", "date", "dow", F.col("first").cast("double").alias("first")))
+    parts = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), p.count() // PARITY_ROWS + 1)
     coin = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "resource",
                                                 F.col("date").cast("string"))), 1, 8), 16, 10) \
         .cast("bigint") % 2
-    cells = q.select("resource", "dow", "first", F.explode(F.array(
+    cells = p.repartition(parts, "resource").select("resource", "dow", "first", F.explode(F.array(
         F.struct(F.lit("week").alias("split"), (F.weekofyear("date") % 2).alias("side")),
         F.struct(F.lit("null").alias("split"), coin.cast("int").alias("side")))).alias("c")) \
         .select("resource", "dow", "first", "c.*")
     keys = ["split", "resource", "dow", "side"]
-    med = quantiles(cells, keys, "first", {"m": 0.5}).join(
-        cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
-    pair = med.filter(F.col("n") >= min_side).groupBy("split", "resource", "dow").agg(
+    w = Window.partitionBy(*keys)
+    placed = cells.withColumn("__r", F.row_number().over(w.orderBy(F.col("first").asc_nulls_last())) - 1) \
+        .withColumns({"__n": F.count(F.lit(1)).over(w), "__k": F.count("first").over(w)})
+    at = (F.col("__k") - 1) * 0.5
+    lo, hi = F.col("__r") == F.floor(at), F.col("__r") == F.ceil(at)
+    med = placed.filter((F.col("__r") == 0) | lo | hi).groupBy(*keys).agg(
+        F.max("__n").alias("n"), F.max(F.when(lo, F.col("first"))).alias("__lo"),
+        F.max(F.when(hi, F.col("first"))).alias("__hi"))
+    med = med.withColumns({"m": F.col("__lo") * 0.5 + F.col("__hi") * 0.5,
+                           "__d": F.sum("n").over(Window.partitionBy("split", "resource"))})
+    med = med.filter((F.col("__d") >= min_days) & (F.col("n") >= min_side)).dropna(subset=[*keys, "m"])
+    pair = med.groupBy("split", "resource", "dow").agg(
         F.count(F.lit(1)).alias("sides"), (F.max("m") - F.min("m")).alias("shift"))
-    pair = pair.filter("sides = 2")
+    pair = staged(pair.filter("sides = 2"))
     agg = pair.groupBy("split").agg(F.count(F.lit(1)).alias("n_cells"),
                                     F.avg((F.col("shift") > 1).cast("double")).alias("share_over_1h"))
     return agg.join(quantiles(pair, ["split"], "shift", {"median_shift": 0.5}), "split")
