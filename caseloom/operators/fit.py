@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import finite, ratio
-from ..functions.ordered import along, total_upto
+from ..functions.ordered import along, settled, total_upto
 from ..functions.quantiles import quantiles
 from ..functions.special import digamma, kolmogorov_tail, lgamma, trigamma
 from ..functions.staging import sized, staged
@@ -164,7 +164,7 @@ def delay_fit(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     if not keys:
         return delay_fit(df.withColumn("__g", F.lit(0)), ["__g"], value).drop("__g")
     v = F.col(value)
-    ok = df.filter(finite(value) & (v >= 0))
+    ok = settled(df.select(*keys, value).filter(finite(value) & (v >= 0)))     # read three times
     base = ok.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_delays"),
         F.avg((v == 0).cast("double")).alias("zero_prob"), F.avg(v).alias("overall_mean_s"))

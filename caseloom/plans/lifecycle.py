@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros, rounded
+from ..functions.staging import staged
 from ..operators import lifecycle as lc
 from ..operators.calendars import fit_weekly, presence
 from .base import item_log, lifecycle_log, part, query, secs
@@ -126,7 +127,7 @@ def lc_calendar(spark, d):
     # two resources leave their traces under other names and so have no windows
     log = lifecycle_log(spark, d).withColumn("resource", F.expr(
         "if(resource in ('R5', 'R6'), concat('former ', resource), resource)"))
-    p = presence(log)
+    p = staged(presence(log))       # read for days, weekdays and both ends of the windows
     windows = fit_weekly(p, min_active_days=1)
     hol = spark.range(1).select(F.explode(F.expr(
         "array(date'2024-01-01', date'2024-01-15')")).alias("date"))
