@@ -46,7 +46,7 @@ part("dmembers", "select * from {members} where grp < 9")
 
 
 def members(spark, d, overlap=True):
-    r = simple_log(spark, d).select("resource").distinct()
+    r = staged(simple_log(spark, d).select("resource").distinct())
     n = F.substring("resource", 2, 2).cast("int")
     m = r.select((n % 4).alias("grp"), "resource")
     if overlap:
@@ -416,11 +416,11 @@ part("crit_c", """select distinct x.activity, x.case_type, x.time_type, resource
     min(t) over ()) / (max(t) over () - min(t) over ()) + 0.2 * coalesce((b - min(b) over ()) /
     nullif(max(b) over () - min(b) over (), 0), 0), 6) as criticality_score from j""")
 def o20(spark, d):
-    log = el(spark, d)
-    humans = log.filter("resource <> 'R0'")
-    occ = log.groupBy("resource").agg((F.sum("value") / 10000).alias("occupation"))
-    n = humans.agg(F.count(F.lit(1))).scalar()
-    thr = log.groupBy("resource").agg((F.count(F.lit(1)) / n).alias("share"))
+    # humans, occupation and throughput from one pass over the events
+    work = staged(el(spark, d).groupBy("resource").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")))
+    humans = work.filter("resource <> 'R0'")
+    occ = work.select("resource", (F.col("value") / 10000).alias("occupation"))
+    thr = work.select("resource", (F.col("n") / humans.agg(F.sum("n")).scalar()).alias("share"))
     return rounded(org.criticality(humans, members(spark, d), wild_caps(spark, d), occ, thr))
 
 
