@@ -127,3 +127,40 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(i, None, float("nan"), 1.0, 4.0 if i % 9 else None) for i in range(60)], schema)
     model = B.fit(df, FEATURES, "y", "id", 3, 2, 0.1, 1.0, 1)
     assert all(abs(r.prediction - 4) < 1e-6 for r in B.predict(df, model).collect())
+
+
+@pytest.mark.parametrize("grown, direct", [(0, 0), (2, 0), (2, 1), (32, 1), (32, 32)])
+@pytest.mark.parametrize("levels", [None, [0.1, 0.5, 0.95]])
+def test_equal_wherever_nodes_are_grown(spark, grown, direct, levels, monkeypatch):
+    """By passes only, some nodes or all in one task, leaves by level or whole, all rows in one task."""
+    monkeypatch.setattr(B, "BLOCK", 100)
+    monkeypatch.setattr(B, "RENEW", 2)
+    monkeypatch.setattr(B, "GROWN", grown)
+    monkeypatch.setattr(B, "DIRECT", direct)
+    x, y = data(4, 700)
+    df = frame(spark, x, y).repartition(3)
+    keys = {r.id: r.k for r in df.select("id", F.xxhash64("id").alias("k")).collect()}
+    args = dict(trees=3, depth=4, rate=0.3, leaf=9)
+    model = B.fit(df, FEATURES, "y", "id", subsample=0.8, levels=levels, **args)
+    want = plain(model, x, y, np.array([keys[i] for i in range(len(y))]), share=0.8, levels=levels, **args)
+    assert np.array_equal(model.raw(model.bins(x)), want)
+    assert len({i for t in model.trees for i in t.feature.tolist()}) == 4 and (model.gains > 0).all()
+
+
+@pytest.mark.parametrize("direct, most", [(4, 1), (1, 2)])
+def test_few_jobs_a_tree(spark, direct, most, monkeypatch):
+    """Training is a row of short jobs: a tree of depth 5 is one job, or one for splits and one for leaves."""
+    monkeypatch.setattr(B, "BLOCK", 400)
+    monkeypatch.setattr(B, "DIRECT", direct)
+    x, y = data(5, 1200)
+    df = frame(spark, x, y).repartition(3)
+
+    def jobs(trees):
+        group = f"trees-{direct}-{trees}"
+        spark.sparkContext.setJobGroup(group, "boosting")
+        B.fit(df, FEATURES, "y", "id", trees, 5, 0.1, 0.8, 5, [0.1, 0.5, 0.9])
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    few, more = jobs(1), jobs(5)
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert 4 <= more - few <= 4 * most
